@@ -22,6 +22,36 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens").withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every whole text of documents."""
+    from tidewright.llm.decontam import find_leaks
+
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("leaks.spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    found = found.select("doc_id", F.col("leaks.n_words").alias("n_words"), n_hit.alias("n_hit"), F.col("leaks.items").alias("items"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP2_SQL = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+il AS (SELECT item_id, w, least(len(w), 10) AS l FROM iw WHERE len(w) > 0),
+iwin AS (SELECT DISTINCT item_id, l, g FROM (SELECT item_id, l, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i + l - 1], ' '))) AS g FROM il)),
+dpos AS (SELECT rid, w, l, unnest(range(1, len(w) - l + 2)) AS p FROM dw, (SELECT DISTINCT l FROM il) WHERE len(w) >= l),
+hits AS (SELECT rid, p, d.l, item_id FROM (SELECT rid, l, p, array_to_string(w[p:p + l - 1], ' ') AS g FROM dpos) d JOIN iwin USING (l, g)),
+hw AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + l)) AS q FROM hits) GROUP BY rid),
+hi AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
+"""
+
+
 def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from tidewright.llm.simhash import near_duplicates
@@ -31,8 +61,8 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op9_simhash_near_duplicates)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op9_simhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": OP2_SQL}
