@@ -26,8 +26,10 @@ def words(text: Column | str) -> Column:
 
 
 def n_words(text: Column | str) -> Column:
-    """How many words a text has, without keeping them."""
-    return F.size(words(text)).cast("long")
+    """How many words a text has, without keeping them (long)."""
+    c = F.col(text) if isinstance(text, str) else text
+    inner = F.btrim(F.coalesce(c, F.lit("")), F.lit(SPACES))
+    return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, "[ \\t-\\r]+"))).cast("long")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -60,9 +60,49 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150% of all words, weighted by source, takes of each document."""
+    from tidewright.llm.mixing import mix_documents
+
+    return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         ((coalesce(doc_id, 0) % 2147483647 + 2147483647) % 2147483647 * 48271) % 2147483647 AS stir
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_rows,
+         row_number() OVER (ORDER BY source NULLS LAST) AS rnk
+  FROM d GROUP BY source),
+w AS (SELECT *, CASE (rnk - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+l AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM w WINDOW before AS (ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, least(cap, max(level) OVER () * weight) AS target, CAST(ceil(source_size / 128.0) AS BIGINT) AS n_blocks, CAST(ceil(n_rows / 8192.0) AS BIGINT) AS n_buckets FROM l),
+u AS (SELECT *, CASE WHEN n_blocks = 0 THEN 0 ELSE least(CAST(round(target / (source_size::DOUBLE / n_blocks)) AS BIGINT), 2 * n_blocks) END AS n_slots FROM t),
+laps AS (SELECT rnk, n_blocks, n_slots, lap, (((7 + rnk * 7919 + lap * 104729) % 2147483647) * 48271) % 2147483647 AS draw FROM u, range(0, 2) r(lap) WHERE n_slots > lap * n_blocks),
+steps AS (
+  SELECT *, list_filter([1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151, 1000159, 1000171, 1000183, 1000187, 1000193, 1000199], lambda p: n_blocks % p <> 0) AS primes
+  FROM laps),
+slots AS (SELECT rnk, n_blocks, draw, primes[draw % len(primes) + 1]::BIGINT AS step, unnest(range(0, least(n_blocks, n_slots - lap * n_blocks))) AS i FROM steps),
+times AS (SELECT rnk, (step * i + draw) % n_blocks AS block, count(*) AS times FROM slots GROUP BY ALL),
+p AS (
+  SELECT d.doc_id, d.size, u.rnk, u.source_size, u.target,
+         CAST(sum(d.size) OVER (PARTITION BY u.rnk ORDER BY d.stir % u.n_buckets, d.stir, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
+b AS (SELECT *, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM p WHERE size > 0),
+k AS (SELECT rnk, start, CAST(sum((least(start + size, (block + 1) * 128) - greatest(start, block * 128)) * coalesce(times, 0)) AS BIGINT) AS taken FROM b LEFT JOIN times USING (rnk, block) GROUP BY rnk, start)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE taken END AS taken
+FROM p LEFT JOIN k ON p.rnk = k.rnk AND p.start = k.start AND p.size > 0
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op9_simhash_near_duplicates)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op9_simhash_near_duplicates, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op10_mix_sources": OP10_SQL}
