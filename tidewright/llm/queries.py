@@ -52,6 +52,14 @@ FROM dw LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the chunks of lines that an earlier place has."""
+    from tidewright.llm.line_dedup import remove_repeated_chunks
+
+    done = remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("clean.text").alias("text"), F.col("clean.n_chunks").alias("n_chunks"), F.col("clean.n_lines").alias("n_lines"), F.col("clean.first_ids").alias("first_ids"))
+
+
 def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from tidewright.llm.simhash import near_duplicates
@@ -101,7 +109,7 @@ FROM p LEFT JOIN k ON p.rnk = k.rnk AND p.start = k.start AND p.size > 0
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op9_simhash_near_duplicates, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op7_line_dedup, op9_simhash_near_duplicates, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
