@@ -52,6 +52,45 @@ FROM dw LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of the rules."""
+    from tidewright.llm.quality_rules import judge
+
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
+def op4_sql() -> str:
+    """The same in DuckDB's SQL, windows compared by their words."""
+    from tidewright.llm.quality_rules import RULES, STOP_WORDS
+
+    rules = []
+    for r in RULES:
+        a, b = (f"{x.strip()}::DOUBLE" for x in r.value.split("/"))
+        v = f"({a} / nullif({b}, 0))"
+        inside = " AND ".join([f"{v} >= {r.least}"] * (r.least is not None) + [f"{v} <= {r.most}"] * (r.most is not None))
+        rules.append(f"(coalesce({inside}, true) OR n_words < {r.from_words})")
+    stops = ", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+p AS (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(w[i:i + 7], ' ')) AS n FROM p),
+r AS (SELECT rid, count(DISTINCT q) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 8)) AS q FROM g WHERE n > 1) GROUP BY rid),
+s AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         CAST(length(t) - length(translate(t, '!?', '')) AS BIGINT) AS n_marks, CAST(len(lines) AS BIGINT) AS n_lines,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: x IN ({stops}))) AS n_stop
+  FROM l LEFT JOIN r USING (rid)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {" AND ".join(rules)} AS kept
+FROM b
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the chunks of lines that an earlier place has."""
     from tidewright.llm.line_dedup import remove_repeated_chunks
@@ -109,8 +148,8 @@ FROM p LEFT JOIN k ON p.rnk = k.rnk AND p.start = k.start AND p.size > 0
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op7_line_dedup, op9_simhash_near_duplicates, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op4_quality_rules, op7_line_dedup, op9_simhash_near_duplicates, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op4_quality_rules": op4_sql(), "op10_mix_sources": OP10_SQL}
