@@ -41,7 +41,7 @@ RULES = (
     Rule("word_length", "word_chars / n_words", 2, 14),
     Rule("symbols", "n_symbols / n_words", None, 0.1),
     Rule("marks", "n_marks / n_words", None, 0.3),
-    Rule("repeated_lines", "n_dup_lines / n_lines", None, 0.3),
+    Rule("repeated_lines", "n_dup_lines / n_lines", None, 0.5),
     Rule("distinct_words", "n_distinct / n_words", 0.1, None, 50),
     Rule("stop_words", "n_stop / n_words", 0.01, None, 50),
 )
@@ -92,15 +92,15 @@ def statistics(w: Column, text: Column) -> dict[str, Column]:
     return {k: v.cast("long") for k, v in n.items()}
 
 
-def compile_rules(rules: Sequence[Rule], stats: str) -> Column:
-    """One boolean column: every rule holds of the statistics in the struct column `stats`. A
-    value that is null (nothing to divide by) holds."""
+def compile_rules(rules: Sequence[Rule], names: dict[str, str]) -> Column:
+    """One boolean column: every rule holds of the statistics in the columns `names`. A value
+    that is null (nothing to divide by) holds."""
     ok = F.lit(True)
     for r in rules:
-        parts = [F.expr(re.sub(r"\b[a-z]\w*", lambda m: f"{stats}.{m[0]}", p)).cast("double") for p in r.value.split("/")]
+        parts = [F.expr(re.sub(r"\b[a-z]\w*", lambda m: f"`{names[m[0]]}`", p)).cast("double") for p in r.value.split("/")]
         v = F.try_divide(*parts) if len(parts) == 2 else parts[0]
         inside = (v >= r.least if r.least is not None else F.lit(True)) & (v <= r.most if r.most is not None else F.lit(True))
-        ok &= F.coalesce(inside, F.lit(True)) | (F.col(f"{stats}.n_words") < r.from_words)
+        ok &= F.coalesce(inside, F.lit(True)) | (F.col(names["n_words"]) < r.from_words)
     return ok
 
 
@@ -112,11 +112,14 @@ def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) ->
     the words in repeated windows. kept: neither base_failed nor outside a rule. Every row is
     judged alone and whole; columns of the same names as the statistics stay as they were.
     """
-    t, w, stats = fresh(docs, "quality_text", "quality_words", "quality_stats")
-    own = docs.columns
-    rows = docs.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    rows = rows.withColumn(w, words(F.col(t)))
-    n = statistics(F.col(w), F.col(t)) | {"n_repeat_words": repeated_words(F.col(w))}
-    rows = rows.select(*(F.col(f"`{c}`") for c in own), F.struct(*(c.alias(k) for k, c in n.items())).alias(stats))
-    base = (F.col(f"{stats}.n_words") < LEAST_WORDS) | (100 * F.col(f"{stats}.n_repeat_words") > MOST_REPEATED * F.col(f"{stats}.n_words"))
-    return rows.select(*(F.col(f"`{c}`") for c in own), F.struct(*(F.col(f"{stats}.{k}").alias(k) for k in n), base.alias("base_failed"), (~base & compile_rules(rules, stats)).alias("kept")).alias("quality"))
+    t, w = fresh(docs, "quality_text", "quality_words")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn(w, words(F.col(t)))
+    found = statistics(F.col(w), F.col(t)) | {"n_repeat_words": repeated_words(F.col(w))}
+    # plain columns: a struct would be taken apart and computed for each use
+    names = dict(zip(found, fresh(rows, *(f"quality_{k}" for k in found)), strict=True))
+    rows = rows.withColumns({names[k]: c for k, c in found.items()})
+    n = {k: F.col(c) for k, c in names.items()}
+    base = (n["n_words"] < LEAST_WORDS) | (100 * n["n_repeat_words"] > MOST_REPEATED * n["n_words"])
+    kept = ~base & compile_rules(rules, names)
+    return rows.select(*own, F.struct(*(c.alias(k) for k, c in n.items()), base.alias("base_failed"), kept.alias("kept")).alias("quality"))

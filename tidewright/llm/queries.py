@@ -91,6 +91,27 @@ FROM b
 """
 
 
+def _remainder(n: int):
+    """crc32 of the doc_id as text, modulo n; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str):
+    """The rule ensemble fitted to the labels that are not held out."""
+    from tidewright.llm.rule_ensemble import learn
+
+    return learn(docs, table(spark, sf_dir, "labels").where(_remainder(3) != 1), "quality")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a rule ensemble."""
+    from tidewright.llm.rule_ensemble import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, quality_model(docs, spark, sf_dir))
+    return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the chunks of lines that an earlier place has."""
     from tidewright.llm.line_dedup import remove_repeated_chunks
@@ -148,7 +169,7 @@ FROM p LEFT JOIN k ON p.rnk = k.rnk AND p.start = k.start AND p.size > 0
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op4_quality_rules, op7_line_dedup, op9_simhash_near_duplicates, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op4_quality_rules, op5_quality_classifier, op7_line_dedup, op9_simhash_near_duplicates, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
