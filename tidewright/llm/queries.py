@@ -129,6 +129,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("clean.text").alias("text"), F.col("clean.n_chunks").alias("n_chunks"), F.col("clean.n_lines").alias("n_lines"), F.col("clean.first_ids").alias("first_ids"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tidewright.llm.html_main import extract
+
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from tidewright.llm.simhash import near_duplicates
@@ -178,7 +186,7 @@ FROM p LEFT JOIN k ON p.rnk = k.rnk AND p.start = k.start AND p.size > 0
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op4_quality_rules, op5_quality_classifier, op6_toxicity, op7_line_dedup, op9_simhash_near_duplicates, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op4_quality_rules, op5_quality_classifier, op6_toxicity, op7_line_dedup, op8_html_extraction, op9_simhash_near_duplicates, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
