@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,42 @@ FROM dw LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences that a document is, and those that its lines name."""
+    from tidewright.llm.licenses import default_licenses, scan
+
+    found = scan(table(spark, sf_dir, "documents"), default_licenses(spark))
+    return found.select("doc_id", "license_id", F.array_join("notices", ",").alias("notices"), "n_notice_lines")
+
+
+def op3_sql() -> str:
+    """The same in DuckDB's SQL."""
+    from tidewright.llm.license_texts import catalogue
+    from tidewright.llm.licenses import COPYRIGHT_LINE, PUNCTUATION, SPELLINGS
+
+    def canonical(x: str) -> str:
+        x = f"lower({x})"
+        for a, b in SPELLINGS:
+            x = f"replace({x}, '{a}', '{b}')"
+        marks = PUNCTUATION
+        for code in re.findall(r"\\u([0-9A-F]{4})", PUNCTUATION):
+            marks = marks.replace(f"\\u{code}", f"\\x{{{code}}}")
+        x = f"regexp_replace({x}, '{COPYRIGHT_LINE}', chr(10), 'g')"
+        return f"trim(regexp_replace({x}, '{marks}', ' ', 'g'))"
+
+    values = ", ".join("('{}', '{}')".format(*(v.replace("'", "''") for v in row)) for row in catalogue())
+    return f"""
+WITH k AS (SELECT sha256(c) AS digest, min(license_id) AS license_id
+           FROM (SELECT license_id, {canonical("t")} AS c FROM (VALUES {values}) v(license_id, t)) WHERE c <> '' GROUP BY 1),
+d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+u AS (SELECT rid, true AS whole, text AS t FROM d UNION ALL SELECT rid, false, unnest(string_split(text, chr(10))) FROM d),
+c AS (SELECT rid, whole, {canonical("t")} AS c FROM u WHERE t IS NOT NULL),
+h AS (SELECT rid, whole, license_id FROM c JOIN k ON sha256(c) = digest WHERE c <> ''),
+g AS (SELECT rid, min(license_id) FILTER (whole) AS license_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) FILTER (NOT whole) AS notices, count(*) FILTER (NOT whole) AS n FROM h GROUP BY rid)
+SELECT doc_id, license_id, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notice_lines FROM d LEFT JOIN g USING (rid)
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document and the verdict of the rules."""
     from tidewright.llm.quality_rules import judge
@@ -186,8 +223,8 @@ FROM p LEFT JOIN k ON p.rnk = k.rnk AND p.start = k.start AND p.size > 0
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op4_quality_rules, op5_quality_classifier, op6_toxicity, op7_line_dedup, op8_html_extraction, op9_simhash_near_duplicates, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_license_scan, op4_quality_rules, op5_quality_classifier, op6_toxicity, op7_line_dedup, op8_html_extraction, op9_simhash_near_duplicates, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op4_quality_rules": op4_sql(), "op10_mix_sources": OP10_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_license_scan": op3_sql(), "op4_quality_rules": op4_sql(), "op10_mix_sources": OP10_SQL}
