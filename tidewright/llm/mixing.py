@@ -123,12 +123,24 @@ def mix_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     in order. All blocks of a source but its last have `block` words. Cases as in mix_documents.
     """
     placed, sources = _plan(docs, doc_id, text, source, weights, share, most, block)
-    placed = cut(placed)
-    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).withColumn("_mark", F.xxhash64("_text")).dropDuplicates(["_id", "_mark"])
-    pieces = _pieces(placed, block).join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    tokens = F.split(F.btrim("_text", F.lit(SPACES)), "[ \\t-\\r]+")
-    pieces = pieces.select("rank", "block", "start", "doc_id", F.array_join(F.slice(tokens, (F.col("first") + 1).cast("int"), (F.col("stop") - F.col("first")).cast("int")), " ").alias("piece"))
-    packed = pieces.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("start", "doc_id", "piece"))).alias("p"))
+    placed = cut(placed.where("size > 0"))
+    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).withColumn("_mark", F.xxhash64("_text"))
+    if placed.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():
+        own = own.dropDuplicates(["_id", "_mark"])
+    rows = placed.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    end = F.col("start") + F.col("size")
+    blocks = F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((end - 1) / block).cast("long"))
+
+    def pieces(tokens: Column) -> Column:
+        def piece(b: Column) -> Column:
+            first, stop = F.greatest(F.col("start"), b * block) - F.col("start"), F.least(end, (b + 1) * block) - F.col("start")
+            return F.struct(b.alias("block"), F.array_join(F.slice(tokens, (first + 1).cast("int"), (stop - first).cast("int")), " ").alias("piece"))
+
+        return F.transform(blocks, piece)
+
+    # the one-element array binds the words, so that a text is split once
+    words = F.split(F.btrim("_text", F.lit(SPACES)), "[ \\t-\\r]+")
+    found = rows.select("rank", "start", "doc_id", F.explode(F.transform(F.array(words), pieces)[0]).alias("p")).select("rank", "p.block", F.struct("start", "doc_id", "p.piece").alias("p"))
+    packed = found.groupBy("rank", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
     packed = packed.select("rank", "block", F.col("p.doc_id").alias("doc_ids"), F.array_join("p.piece", " ").alias("text"))
-    named = sources.select("rank", "source")
-    return draw_slots(sources, seed).join(packed, ["rank", "block"]).join(named, "rank").select("shard", "source", "slot", "block", "doc_ids", "text")
+    return draw_slots(sources, seed).join(packed, ["rank", "block"]).join(sources.select("rank", "source"), "rank").select("shard", "source", "slot", "block", "doc_ids", "text")
