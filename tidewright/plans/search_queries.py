@@ -1,5 +1,178 @@
-"""Queries."""
+"""Tokens, search, ranking, vectors and evaluation."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright.functions import text as tx
+from tidewright.operators import search
 from tidewright.plans.registry import Registry
+from tidewright.session import table
 
 registry = Registry()
+
+#: Questions of the search queries: literal rows.
+QUERIES = [(1, "the eredion idiot"), (2, "token password clown"), (3, "heit ung lich"), (4, "ment de eaux"), (5, "licensed under apache license")]
+SYNONYMS = [(1, "idiot"), (1, "moron"), (2, "license"), (2, "licence"), (2, "apache"), (3, "zzz"), (3, "token")]
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUERIES, "qid long, query string")
+
+
+Q_SQL = f"q AS (SELECT qid::BIGINT AS qid, query FROM (VALUES {_values(QUERIES)}) v(qid, query))"
+
+
+@registry.add("SELECT doc_id, len(t)::BIGINT AS n, len(list_distinct(t))::BIGINT AS n_distinct, list_aggregate(list_sort(t), 'max') AS last FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM documents)")
+def tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.tokens("text").alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_max("t").alias("last"))
+
+
+@registry.add(r"""WITH i AS (SELECT page_id, regexp_extract_all(url, '[A-Za-z][A-Za-z0-9]*(?:[._-][A-Za-z0-9]+)+') AS f FROM pages),
+u AS (SELECT page_id, lower(regexp_replace(x, '[.-]', '_', 'g')) AS t FROM (SELECT page_id, unnest(f) AS x FROM i) UNION SELECT page_id, unnest(list_filter(regexp_split_to_array(lower(x), '[._-]'), lambda p: p <> '')) FROM (SELECT page_id, unnest(f) AS x FROM i))
+SELECT page_id, string_agg(t, ' ' ORDER BY t) AS idents FROM u GROUP BY 1""")
+def tokenize_idents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers in page URLs, whole and in parts."""
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(tx.ident_tokens("url")), " ").alias("idents"))
+
+
+@registry.add("""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[à-ÿ]+')) AS r FROM documents), g AS (SELECT doc_id, unnest(CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END) AS g FROM r)
+SELECT g AS bigram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1""")
+def tokenize_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-letter pieces of runs of accented letters, over all texts."""
+    g = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.bigrams("text", "[à-ÿ]")).alias("bigram"))
+    return g.groupBy("bigram").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@registry.add("""WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS chunk, length(body)::BIGINT AS n_chars, sha256(body)[1:12] AS hash FROM c WHERE trim(body) <> ''""")
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in chunks of a line, blank ones left out, numbered within their document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x) != "").alias("c"))
+    return d.select("doc_id", F.posexplode("c").alias("k", "body")).select("doc_id", (F.col("k") + 1).cast("long").alias("chunk"), F.char_length("body").cast("long").alias("n_chars"), F.substring(F.sha2("body", 256), 1, 12).alias("hash"))
+
+
+BM25_SQL = f"""{Q_SQL},
+qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(query), '[\\p{{L}}0-9_]+')) AS term FROM q),
+d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(source, '')), '[\\p{{L}}0-9_]+') AS ti, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}0-9_]+') AS bo FROM documents),
+s AS (SELECT count(*) AS n_docs, avg(len(ti) + len(bo)) AS avg_len FROM d),
+p AS (SELECT id, l, term, sum(w) AS wtf FROM (SELECT id, len(ti) + len(bo) AS l, unnest(ti) AS term, 3.0::DOUBLE AS w FROM d UNION ALL SELECT id, len(ti) + len(bo), unnest(bo), 1.0::DOUBLE FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+b AS (SELECT qid, id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * l / avg_len))), 6) AS score FROM p JOIN qt USING (term) JOIN f USING (term), s GROUP BY ALL),
+k AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 100)"""
+
+
+def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda c: tx.tokens(c, r"[\p{L}0-9_]+")
+    terms = questions(spark).select("qid", F.explode(t("query")).alias("term"))
+    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", {"title": (t("source"), 3.0), "body": (t("text"), 1.0)}, terms, 100)
+
+
+@registry.add(f"WITH {BM25_SQL} SELECT qid, id, score, rank FROM k WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each question by weighted BM25: a report of the top."""
+    return _keyword(spark, sf_dir).where("rank <= 10")
+
+
+@registry.add(f"""WITH {Q_SQL}, s AS (SELECT * FROM (VALUES {_values(SYNONYMS)}) v(gid, member)), c AS (SELECT DISTINCT qid, gid FROM q JOIN s ON contains(lower(query), member)),
+x AS (SELECT qid, string_agg(member, ' ' ORDER BY gid, member) AS more FROM (SELECT DISTINCT qid, gid, member FROM c JOIN s USING (gid) JOIN q USING (qid) WHERE NOT contains(lower(query), member)) GROUP BY 1)
+SELECT qid, query || ' ' || coalesce(more, '') AS expanded FROM q LEFT JOIN x USING (qid)""")
+def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with the synonyms that they call for."""
+    return search.expand(questions(spark), spark.createDataFrame(SYNONYMS, "gid long, member string")).select("qid", "expanded")
+
+
+VEC_SQL = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9 AS n, label FROM embeddings),
+vp AS (SELECT a.id AS qid, b.id, round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS score FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id),
+vk AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vp) WHERE rank <= 10)"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    hits = search.cosine_top(e, asked, limit + 1).where("qid <> id")
+    return hits.withColumn("_r", F.col("rank")).drop("rank").transform(lambda d: search.top(d, ["qid"], [F.asc("_r")], limit)).drop("_r")
+
+
+@registry.add(f"WITH {VEC_SQL} SELECT qid, id, score, rank FROM vk")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth, exactly."""
+    return _vectors(spark, sf_dir, 10)
+
+
+@registry.add(f"""WITH {VEC_SQL}, r AS (SELECT a.id AS qid, b.id FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE a.id % 100 = 0),
+n AS (SELECT qid, count(*) AS n_relevant FROM r GROUP BY 1), g AS (SELECT qid, count_if(rank <= 5) AS c, min(rank) AS f FROM vk JOIN r USING (qid, id) GROUP BY 1),
+p AS (SELECT qid, coalesce(c, 0) / n_relevant AS recall, coalesce(1.0::DOUBLE / f, 0) AS rr FROM n LEFT JOIN g USING (qid))
+SELECT count(*) AS queries, round(avg(round(recall, 6)), 6) AS recall, round(avg(round(rr, 6)), 6) AS mrr, 0.0::DOUBLE AS zero_rate, count_if(rr < 0.5)::BIGINT AS misses, false AS passed FROM p""")
+def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval quality of the vector search with equal labels as relevance."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
+    relevant = e.withColumnRenamed("vec_id", "id").join(F.broadcast(asked), "label").where("qid <> id")
+    return search.evaluation_summary(search.evaluate(_vectors(spark, sf_dir, 10), relevant))
+
+
+FUSED_SQL = f"""{BM25_SQL}, l AS (SELECT qid, id, rank FROM k UNION ALL SELECT qid, id, rank FROM (SELECT qid, doc_id AS id, row_number() OVER (PARTITION BY qid ORDER BY n_chars DESC, doc_id) AS rank FROM q, documents WHERE lang = 'en') WHERE rank <= 50),
+fu AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS best FROM l GROUP BY ALL), fr AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best, id) AS rank FROM fu)"""
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword hits fused with a list of the longest English documents (a stand-in for a vector
+    list)."""
+    longest = table(spark, sf_dir, "documents").where("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(50).select(F.col("doc_id").alias("id"), "n_chars")
+    second = search.top(longest.join(F.broadcast(questions(spark).select("qid")), F.lit(True)), ["qid"], [F.desc("n_chars"), F.asc("id")], 50).select("qid", "id", "rank")
+    return search.fuse(_keyword(spark, sf_dir).select("qid", "id", "rank").unionByName(second))
+
+
+@registry.add(f"WITH {FUSED_SQL} SELECT qid, id, score, rank FROM fr WHERE rank <= 10")
+def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ranked lists fused: a report of the top."""
+    return _fused(spark, sf_dir).where("rank <= 10")
+
+
+@registry.add(f"""WITH {FUSED_SQL}, m AS (SELECT fr.qid, fr.id, fr.rank AS was, lower(source) = lower(CASE WHEN qid = 1 THEN 'src4' ELSE query END) OR id::VARCHAR = lower(query) AS exact FROM fr JOIN documents ON doc_id = id JOIN q USING (qid) WHERE lang = 'en')
+SELECT qid, id, rank, exact FROM (SELECT qid, id, exact, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, was, id) AS rank FROM m) WHERE rank <= 8""")
+def exact_promoted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused hits in English only, exact titles first: a report of the top."""
+    asked = questions(spark).withColumn("query", F.when(F.col("qid") == 1, "src4").otherwise(F.col("query")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "lang")
+    return search.promoted(_fused(spark, sf_dir), docs, asked, 8, {"lang": "en", "title": None})
+
+
+@registry.add("""WITH s AS (SELECT doc_id, text, coalesce(nullif(instr(lower(text), 'license'), 0), nullif(instr(lower(text), 'li'), 0), 1) AS p FROM documents), t AS (SELECT *, greatest(1, p - 60) AS st FROM s)
+SELECT doc_id, CASE WHEN st > 1 THEN '…' ELSE '' END || substr(text, st, p - st + 67) || CASE WHEN st + p - st + 67 - 1 < length(text) THEN '…' ELSE '' END AS snippet FROM t""")
+def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surroundings of a term in each text."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.snippet("text", "license").alias("snippet"))
+
+
+@registry.add("""WITH n AS (SELECT * FROM (VALUES ('licence:mit', 'MIT License'), ('licence:apache', 'Apache License'), ('licence:gpl', 'GNU General Public License'), ('word:idiot', 'idiot'), ('word:scum', 'scum'), ('word:ung', 'ung'), ('word:token', 'token')) v(entity, name))
+SELECT doc_id AS id, entity, min(instr(lower(text), lower(name)))::BIGINT AS "at" FROM documents JOIN n ON regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])' || name || '($|[^A-Za-z0-9])') GROUP BY ALL""")
+def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a dictionary in the texts, at word boundaries."""
+    names = [("licence:mit", "MIT License"), ("licence:apache", "Apache License"), ("licence:gpl", "GNU General Public License"), ("word:idiot", "idiot"), ("word:scum", "scum"), ("word:ung", "ung"), ("word:token", "token")]
+    found = search.dictionary_match(table(spark, sf_dir, "documents"), spark.createDataFrame(names, "entity string, name string"), "doc_id", "text")
+    return found.withColumn("at", F.col("at").cast("long"))
+
+
+@registry.add("""WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT * FROM (VALUES ('*red*'), ('b?ue*'), ('*small'), ('part*'), ('*er*')) v(pattern))
+SELECT pattern, p_name FROM g JOIN n ON p_name GLOB pattern""")
+def glob_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct part names that file-name patterns match."""
+    patterns = spark.createDataFrame([("*red*",), ("b?ue*",), ("*small",), ("part*",), ("*er*",)], "pattern string")
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    return names.join(F.broadcast(patterns), F.call_function("rlike", F.col("p_name"), tx.glob_regex(F.col("pattern")))).select("pattern", "p_name")
+
+
+@registry.add("SELECT doc_id, sum(len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')))::BIGINT AS n_numbers, string_agg(regexp_extract(text, '[0-9]+(?:[.,][0-9]+)*'), '') AS first_number FROM documents WHERE regexp_matches(text, '[0-9]') GROUP BY 1")
+def number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in the texts."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]"))
+    return d.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(tx.NUMBER), F.lit(0))).cast("long").alias("n_numbers"), F.regexp_extract("text", tx.NUMBER, 0).alias("first_number"))
