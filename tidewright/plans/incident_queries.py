@@ -1,5 +1,112 @@
-"""Queries."""
+"""Evidence, claims, questions and index health."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright.operators import asking, graph, health, incidents
+from tidewright.plans import graph_queries
 from tidewright.plans.registry import Registry
+from tidewright.session import table
 
 registry = Registry()
+
+
+@registry.add("SELECT conv_id, 'E' || row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS evidence_id, turn, role, length(text)::BIGINT AS n_chars FROM conversations")
+def evidence_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as numbered evidence."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.char_length("text").cast("long").alias("n_chars"))
+    return incidents.number_evidence(t, "conv_id", ["turn", "role"]).select("conv_id", "evidence_id", "turn", "role", "n_chars")
+
+
+@registry.add("""WITH d AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS first_detected FROM conversations GROUP BY 1), a AS (SELECT conv_id, min(turn) AS first_answered FROM conversations JOIN d USING (conv_id) WHERE role = 'assistant' AND turn > first_detected GROUP BY 1)
+SELECT conv_id, first_detected, first_answered, first_answered - first_detected AS gap FROM d LEFT JOIN a USING (conv_id)""")
+def ack_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first question of a conversation to the first answer after it, in turns."""
+    return incidents.acknowledged(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user", F.col("role") == "assistant")
+
+
+CLAIMS = [("c1", "42 rows were lost in daily_sales", ["E1"]), ("c2", "43 rows were lost", ["E1"]), ("c3", "The job failed", []), ("c4", "It failed at 03:10", ["E1", "E9"]), ("c5", "order_index was stale", ["E2"]), ("c6", "retry took 12.5 s", ["E1", "E2"])]
+EVIDENCE = [("E1", "daily_sales lost 42 rows after a retry"), ("E2", "the retry of 03:10 took 12.5 s")]
+CLAIMS_SQL = f"""WITH c AS (SELECT * FROM (VALUES {", ".join(f"('{i}', '{t}', {c}::VARCHAR[])" for i, t, c in CLAIMS)}) v(claim_id, text, cites)), e AS (SELECT * FROM (VALUES {", ".join(f"('{i}', '{t}')" for i, t in EVIDENCE)}) v(evidence_id, body)),
+x AS (SELECT claim_id, string_agg(body, chr(10) ORDER BY body) AS t, bool_or(body IS NULL) AS unknown FROM (SELECT claim_id, unnest(cites) AS evidence_id FROM c) LEFT JOIN e USING (evidence_id) GROUP BY 1)
+SELECT claim_id, CASE WHEN t IS NULL OR unknown THEN 'dropped' WHEN len(list_filter(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'), lambda n: NOT contains(t, n))) > 0 THEN 'dropped' WHEN len(list_filter(regexp_extract_all(text, '\\b[a-z0-9]+(?:_[a-z0-9]+)+\\b'), lambda n: NOT contains(t, n))) > 0 THEN 'warn' ELSE 'ok' END AS status FROM c LEFT JOIN x USING (claim_id)"""
+
+
+@registry.add(CLAIMS_SQL)
+def claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims against the evidence that they cite."""
+    claims, evidence = spark.createDataFrame(CLAIMS, "claim_id string, text string, cites array<string>"), spark.createDataFrame(EVIDENCE, "evidence_id string, body string")
+    return incidents.check_claims(claims, evidence).select("claim_id", "status")
+
+
+ANSWERS = [(1, "It failed [S2] twice [S1].", 3), (2, "It failed.", 3), (3, "It failed [S9].", 3), (4, "[S0] no", 1)]
+
+
+@registry.add(f"""SELECT id::BIGINT AS id, len(regexp_extract_all(t, '\\[S([0-9]+)\\]', 1)) > 0 AND len(list_filter(regexp_extract_all(t, '\\[S([0-9]+)\\]', 1), lambda x: x::INT < 1 OR x::INT > n)) = 0 AS cited_ok FROM (VALUES {", ".join(f"({i}, '{t}', {n})" for i, t, n in ANSWERS)}) v(id, t, n)""")
+def citation_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose citations all exist."""
+    return incidents.check_citations(spark.createDataFrame(ANSWERS, "id long, text string, n long"), "text", "n").select("id", "cited_ok")
+
+
+INTENTS = {"owner": ["what ", "who "], "impact": ["tion", "effect"], "status": ["is ", "was "], "cause": ["why"]}
+
+
+@registry.add(r"""SELECT conv_id, turn, CASE WHEN contains(lower(text), 'what ') OR contains(lower(text), 'who ') THEN 'owner' WHEN contains(lower(text), 'tion') OR contains(lower(text), 'effect') THEN 'impact' WHEN contains(lower(text), 'is ') OR contains(lower(text), 'was ') THEN 'status' WHEN contains(lower(text), 'why') THEN 'cause' ELSE 'search' END AS intent,
+coalesce(regexp_matches(text, '(?i)\?|^(?:who|what|when|where|why|which|how|is|are|was|did|does)\b') OR len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) >= 5, false) AS looks_natural FROM conversations""")
+def intent_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intent of every turn, and whether it reads like a question."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", asking.intent("text", INTENTS).alias("intent"), asking.looks_natural("text").alias("looks_natural"))
+
+
+@registry.add("""WITH i AS (SELECT l_orderkey AS k, list(DISTINCT l_partkey) AS e FROM lineitem WHERE l_quantity >= 48 GROUP BY 1), x AS (SELECT k, unnest(e) AS e FROM i),
+s AS (SELECT a.k AS a, b.k AS b, count(*) AS n_shared FROM x a JOIN x b ON a.e = b.e AND a.k < b.k GROUP BY ALL HAVING count(*) >= 2),
+r AS (SELECT k AS a, k + 1 AS b FROM i WHERE k % 40 = 0 AND k + 1 IN (SELECT k FROM i))
+SELECT a, b, max(n) AS n_shared, bool_or(ref) AS referenced FROM (SELECT a, b, n_shared AS n, false AS ref FROM s UNION ALL SELECT a, b, 0, true FROM r) GROUP BY ALL""")
+def similar_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as incidents that share two parts, or of which one names the other."""
+    i = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("e"))
+    named = i.where("k % 40 = 0").select(F.col("k").alias("src"), (F.col("k") + 1).alias("dst")).join(i.select(F.col("k").alias("dst")), "dst", "left_semi")
+    return incidents.similar(i, "k", "e", 2, named)
+
+
+@registry.add("""WITH p AS (SELECT event_id, (props::JSON->>'k')::INT AS k FROM events), a AS (SELECT event_id, ['a' || (k % 5), 'b' || (k % 7), 'z'] AS ok, ['a' || (k % 4), 'b' || (k % 7), 'z'] AS nk, k FROM p)
+SELECT event_id, array_to_string(list_sort(list_filter(nk, lambda x: NOT list_contains(ok, x))), ',') AS added, array_to_string(list_sort(list_filter(ok, lambda x: NOT list_contains(nk, x))), ',') AS removed, CASE WHEN k % 2 = 1 THEN 'z' ELSE '' END AS changed FROM a""")
+def map_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys added, removed and changed between two maps made of each event's properties."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    key = lambda p, n: F.concat(F.lit(p), F.pmod(k, F.lit(n)).cast("string"))
+    old = F.create_map(key("a", 5), F.lit("1"), key("b", 7), F.lit("1"), F.lit("z"), F.lit("0"))
+    new = F.create_map(key("a", 4), F.lit("1"), key("b", 7), F.lit("1"), F.lit("z"), F.pmod(k, F.lit(2)).cast("string"))
+    d = table(spark, sf_dir, "events").select("event_id", health.map_diff(old, new).alias("d"))
+    return d.select("event_id", *(F.array_join(f"d.{c}", ",").alias(c) for c in ("added", "removed", "changed")))
+
+
+HEALTH = [("orders-v3", "2024-01-10 00:00:00", 700, "green", {"id": "long", "name": "text"}), ("orders-v2", "2024-01-09 00:00:00", 1000, "green", {"id": "long", "name": "keyword", "old": "text"}), ("items-1", "2024-01-01 00:00:00", 50, "yellow", {"id": "long"}), ("parts-1", "2024-01-09 20:00:00", 10, "green", {"id": "long"})]
+FAMILIES = [("orders", "orders-v*", "orders", 48), ("items", "items-?", "items", 48), ("parts", "parts-*", "parts", 48)]
+ALIASES, BUILDERS = [("orders", "orders-v2"), ("items", "items-1"), ("parts", "parts-1")], [("orders", "success", False), ("items", "failed", True), ("parts", "success", False)]
+
+
+@registry.add("SELECT * FROM (VALUES ('orders', 'crit', 3::BIGINT), ('items', 'crit', 4), ('parts', 'ok', 0)) v(family, level, n_checks)")
+def index_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level of each family in a small cluster of literal rows."""
+    ix = spark.createDataFrame(HEALTH, "index string, created string, docs long, health string, mapping map<string,string>").withColumn("created", F.to_timestamp("created"))
+    fam = spark.createDataFrame(FAMILIES, "family string, pattern string, alias string, max_age_hours int")
+    found = health.check_families(ix, fam, spark.createDataFrame(ALIASES, "alias string, index string"), spark.createDataFrame(BUILDERS, "family string, builder_state string, paused boolean"), F.to_timestamp(F.lit("2024-01-10 12:00:00")))
+    return health.family_levels(fam, found)
+
+
+@registry.add(f"""WITH {graph_queries.EDGES_SQL}, n AS (SELECT 'nation:' || n_nationkey AS id, n_name AS title FROM nation),
+d AS (SELECT id, count(*) AS n_down FROM n JOIN f ON a = id GROUP BY 1), u AS (SELECT id, count(*) AS n_up FROM n JOIN f ON b = id GROUP BY 1)
+SELECT id, title, coalesce(n_down, 0) AS n_down, coalesce(n_up, 0) AS n_up, title || ' affects ' || coalesce(n_down, 0) || ' entities [S1]' AS answer FROM n LEFT JOIN d USING (id) LEFT JOIN u USING (id)""".replace("d AS (SELECT id, count", "dn AS (SELECT id, count").replace("LEFT JOIN d USING", "LEFT JOIN dn USING"))
+def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with what is one step from them, and the rule answer about their impact."""
+    f = graph.flow(graph_queries.edges(spark, sf_dir))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("title"), F.lit(None).cast("string").alias("team"), F.lit("ok").alias("status"))
+    side = lambda at, to: f.join(n.select(F.col("id").alias(at)), at, "left_semi").select(F.col(at).alias("id"), F.col(to).alias("other"), F.lit(1).alias("distance"))
+    none = n.select("id", F.array().cast("array<string>").alias("ids")).where("false")
+    b = asking.context_bundle(n, side("a", "b"), side("b", "a"), none, none)
+    asked = n.select(F.col("id").alias("qid"), F.lit("impact").alias("intent"), "id")
+    counts = b.select("id", "title", F.size("downstream").cast("long").alias("n_down"), F.size("upstream").cast("long").alias("n_up"))
+    return counts.join(asking.rule_answer(asked, b).select("id", "answer"), "id")
