@@ -1,5 +1,110 @@
-"""Queries."""
+"""Converters, script lineage, readers on literal rows, and the streamed roll-up."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright.functions import text as tx
+from tidewright.operators import graph
 from tidewright.plans.registry import Registry
+from tidewright.session import ensure_checkpoint_dir, table
+from tidewright.sources import convert, readers, scripts, sinks
+from tidewright.streaming import rollup
 
 registry = Registry()
+
+
+@registry.add("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, (length(html) - length(replace(html, '<li', '')))::BIGINT // 3 AS n_items, length(html)::BIGINT AS n_chars FROM pages")
+def html_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, list items and size of each page, by string functions."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), tx.occurrences("html", "<li").alias("n_items"), F.char_length("html").cast("long").alias("n_chars"))
+
+
+@registry.add()
+def html_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as Markdown with what was found in them."""
+    c = table(spark, sf_dir, "pages").select("page_id", convert.converted(F.col("url"), F.col("html")).alias("c"))
+    return c.select("page_id", F.col("c.title").alias("title"), F.char_length("c.markdown").cast("long").alias("n_chars"), F.col("c.stats")["paragraph"].alias("paragraphs"), F.size("c.warnings").alias("n_warnings"))
+
+
+SQLS = [("a", "INSERT OVERWRITE TABLE mart.daily PARTITION (dt='{{ ds }}') WITH x AS (SELECT * FROM raw.orders) SELECT * FROM x JOIN raw.items i ON x.id = i.id"), ("b", "INSERT INTO t SELECT * FROM t, s.u AS v WHERE a = 'from zzz' -- from nope"), ("c", "SELECT 1")]
+
+
+@registry.add("SELECT * FROM (VALUES ('a', 'raw.items,raw.orders', 'mart.daily'), ('b', 's.u', 't'), ('c', '', '')) v(id, reads, writes)")
+def sql_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables read and written by SQL texts."""
+    s = spark.createDataFrame(SQLS, "id string, sql string").select("id", scripts.lineage(F.col("sql")).alias("l"))
+    return s.select("id", F.array_join("l.reads", ",").alias("reads"), F.array_join("l.writes", ",").alias("writes"))
+
+
+DDL = "-- orders\nCREATE TABLE IF NOT EXISTS mart.daily (\n id BIGINT COMMENT 'key, first',\n price DECIMAL(12,2),\n tags ARRAY<STRING>\n) COMMENT 'daily sales'\nPARTITIONED BY (dt STRING, hh INT);\nCREATE EXTERNAL TABLE u (a INT);"
+
+
+@registry.add("SELECT * FROM (VALUES ('mart.daily', 'daily sales', 2::BIGINT, 'id:BIGINT,price:DECIMAL(12,2),tags:ARRAY<STRING>', 'dt,hh'), ('u', NULL, 8, 'a:INT', '')) v(name, comment, line, columns, partitions)")
+def ddl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables defined by DDL text."""
+    d = spark.createDataFrame([(DDL,)], "ddl string").select(F.inline(scripts.definitions(F.col("ddl"))))
+    return d.select("name", "comment", "line", F.array_join(F.transform("columns", lambda c: F.concat(c["name"], F.lit(":"), c["type"])), ",").alias("columns"), F.array_join("partitions", ",").alias("partitions"))
+
+
+DAG = 'from airflow import DAG\nwith DAG("sales_daily", schedule="0 3 * * *", tags=["mart"], default_args={"owner": "data", "retries": 2}) as dag:\n    w = ExternalTaskSensor(task_id="wait", external_dag_id="raw_orders")\n    b = SparkSqlOperator(task_id="build", sql="INSERT INTO mart.daily SELECT * FROM raw.orders")\n    x = IndexOperator(task_id="index", index_family="orders", source_table="mart.daily")\n    w >> b >> [x]\n'
+
+
+@registry.add("SELECT * FROM (VALUES ('dag:sales_daily', 'reads', 'table:raw.orders'), ('dag:sales_daily', 'writes', 'table:mart.daily'), ('dag:sales_daily', 'depends_on', 'dag:raw_orders'), ('dag:sales_daily', 'builds', 'index:orders')) v(src, rel, dst)")
+def script_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges out of a DAG script; texts that are no DAG give none."""
+    s = spark.createDataFrame([(DAG,), ("x = 1",), ("not python (",), (None,)], "code string").select(scripts.dags(F.col("code")).alias("d")).where("d IS NOT NULL").select("d.*")
+    return graph.distinct_edges(scripts.lineage_edges(s)).select("src", "rel", "dst")
+
+
+CSV = "﻿workflow_id,run_status,rows\nw1,success,10\nw2,,\n\"w,3\",failed,\"a \"\"b\"\"\"\n"
+
+
+@registry.add("""SELECT * FROM (VALUES ('w1', 'success', '10', NULL, 'runs.csv', 2::BIGINT), ('w2', NULL, NULL, NULL, 'runs.csv', 3), ('w,3', 'failed', 'a "b"', NULL, 'runs.csv', 4)) v(workflow_id, run_status, rows, gone, _file, _line)""")
+def csv_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a CSV text with file and line."""
+    f = spark.createDataFrame([("s3://b/ops/runs.csv", CSV)], "path string, text string")
+    return readers.csv_rows(f, ["workflow_id", "run_status", "rows", "gone"]).drop("_raw")
+
+
+SCHEDULER = '{"fetched_at": "x", "dags": [{"dag_id": "a", "is_paused": false, "owners": ["o"], "tags": [{"name": "t1"}, {"name": "t2"}]}, {"dag_id": "b", "is_paused": true}], "dag_runs": {"a": [{"state": "failed", "start_date": "2024-01-02T00:00:00+09:00"}, {"state": "success"}]}}'
+
+
+@registry.add("SELECT * FROM (VALUES ('a', false, 't1,t2', 2::BIGINT, 'failed'), ('b', true, NULL, 0, NULL)) v(dag_id, is_paused, tags, n_runs, last_state)")
+def scheduler_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DAGs of a scheduler snapshot with their newest run."""
+    f = spark.createDataFrame([("a.json", SCHEDULER)], "path string, text string")
+    return readers.scheduler_dags(f).select("dag_id", "is_paused", F.array_join("tags", ",").alias("tags"), F.size("runs").cast("long").alias("n_runs"), F.get("runs", F.lit(0))["state"].alias("last_state"))
+
+
+@registry.add("""SELECT c_custkey, '# ' || c_name || chr(10) || CASE WHEN count(o_orderkey) > 0 THEN chr(10) || '## Orders' || chr(10) || string_agg('- ' || o_orderkey, chr(10) ORDER BY o_orderkey) || chr(10) ELSE '' END AS page FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name""")
+def page_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown page per customer with its orders."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("orders"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left")
+    return c.select("c_custkey", sinks.page(F.col("c_name"), {"Orders": F.coalesce("orders", F.array().cast("array<bigint>"))}).alias("page"))
+
+
+@registry.add("SELECT event_type AS metric, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL")
+def stream_metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily roll-up as a stream over files that ends when all are read; late rows are
+    allowed for as long as the table is."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = rollup.event_stream(spark, sf_dir, schema, glob="events.parquet")
+    done = rollup.metric_rollup(stream, "ts", "event_type", "value", late="60 days")
+    rollup.run_complete(done, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select("metric", F.to_date("start").alias("day"), "n", F.round("v", 4).alias("v"))
+
+
+@registry.add("""WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, count(*) AS n, min(ts) AS start FROM s GROUP BY user_id, k""")
+def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of a user's events with no pause of twelve hours."""
+    return rollup.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "12 hours").select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start"))
