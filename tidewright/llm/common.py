@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
+import inspect
 import sys
+from collections.abc import Callable, Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -42,3 +45,40 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def shielded(columns: Sequence[str], outs: Sequence[str] = ()) -> Callable:
+    """Decorator for operators on a table: no column of it can clash with theirs.
+
+    The operator's first argument comes to it with columns renamed, and the arguments named in
+    `columns` with them; its result gets the old names back. `outs` are columns that it adds:
+    arguments that hold their names, or the names themselves. A column of the table that is
+    named like one of them is replaced; case does not tell names apart."""
+
+    def wrap(f: Callable) -> Callable:
+        signature = inspect.signature(f)
+
+        @functools.wraps(f)
+        def run(*args, **kwargs) -> DataFrame:
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            first, docs = next(iter(bound.arguments.items()))
+            inner = [f"tw_in_{i}" for i in range(len(docs.columns))]
+            at = dict(zip(reversed(docs.columns), reversed(inner), strict=True))
+            bound.arguments[first] = docs.toDF(*inner)
+            for p in columns:
+                if bound.arguments[p] is not None:
+                    bound.arguments[p] = at[bound.arguments[p]]
+            added = []
+            for o in outs:
+                name, own = bound.arguments.get(o, o), f"tw_out_{o}" if o in bound.arguments else o
+                if o in bound.arguments:
+                    bound.arguments[o] = own
+                added.append((own, name))
+            result, taken = f(*bound.args, **bound.kwargs), {name.lower() for _, name in added}
+            kept = [(i, n) for i, n in zip(inner, docs.columns, strict=True) if n.lower() not in taken]
+            return result.select(*(F.col(i).alias(n) for i, n in [*kept, *added]))
+
+        return run
+
+    return wrap

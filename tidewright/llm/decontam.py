@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import travels
+from tidewright.llm.common import shielded, travels
 
 #: Consecutive item words that make a window.
 WINDOW = 10
@@ -169,6 +169,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iter
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
+@shielded(["text"], ["out"])
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "leaks", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with a struct column `out`: n_words, spans, items.
 
@@ -215,6 +216,7 @@ def merged(lists: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
     return out
 
 
+@shielded(["text", "n_chars"])
 def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_span: int = 0, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS, n_chars: str | None = None) -> DataFrame:
     """docs without test items: spans of more than max_span hit words are cut out of the text,
     and documents that lose more than max_coverage of their words go.

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import n_words
+from tidewright.llm.common import n_words, shielded
 from tidewright.session import cut
 
 #: Lines that the rolling hash covers, and one in how many of its values ends a chunk.
@@ -75,6 +75,7 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return again.select("id", "mark", "at", F.col("first.id").alias("first_id"))
 
 
+@shielded(["doc_id", "text"], ["clean"])
 def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, roll: int = ROLL, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
     """docs with `clean`, a struct: text without its repeated chunks, n_chunks removed, n_lines
     removed, first_ids (distinct ids, sorted, of the documents that keep them).

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import SPACES, fresh, words
+from tidewright.llm.common import SPACES, fresh, shielded, words
 
 #: Words of a window, and the base rule's least words and most per cent of repeated words.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -104,6 +104,7 @@ def compile_rules(rules: Sequence[Rule], names: dict[str, str]) -> Column:
     return ok
 
 
+@shielded(["text"], ["quality"])
 def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """docs with a struct column `quality`: the statistics, n_repeat_words, base_failed, kept.
 

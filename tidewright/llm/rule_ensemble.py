@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import SPACES, fresh, words
+from tidewright.llm.common import SPACES, fresh, shielded, words
 from tidewright.llm.quality_rules import STOP_WORDS, SYMBOLS
 from tidewright.session import cut
 
@@ -202,6 +202,7 @@ def compile_score(model: Model, names: dict[str, str]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
+@shielded(["text"], ["out"])
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with a double column `out`: how likely label 1 is. Null texts score as empty ones;
     each row is scored alone, so repeated rows agree; other columns are untouched and unread."""

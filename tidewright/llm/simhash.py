@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import travels
+from tidewright.llm.common import shielded, travels
 from tidewright.operators.components import connected_components
 from tidewright.session import cut
 
@@ -65,6 +65,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+@shielded(["text"], ["out"])
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", width: int = 3, seed: int = 42) -> DataFrame:
     """docs with a long column `out`, the fingerprint of each whole text (null: as empty, 0)."""
 
@@ -122,6 +123,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(named, "component").select("doc_id", "fp", "component_id")
 
 
+@shielded(["doc_id", "text"])
 def first_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """docs with one row of each near-duplicate group; columns as they were.
 

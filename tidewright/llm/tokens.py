@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import fresh, travels
+from tidewright.llm.common import shielded, travels
 
 #: Pre-token pattern of the byte-level vocabularies (a fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -141,17 +141,16 @@ def _counter(spec: str, whole: list[str], specials: list[str]):
     return counts
 
 
+@shielded(["text"], ["out"])
 def count_tokens(docs: DataFrame, tokenizer_file: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """docs with a long column `out`: the tokens of each whole text.
 
     As the library counts them without begin, end or added special tokens; a special string
     inside a text is the one token that it is by default. Null and empty texts have 0 tokens.
     Texts of any length are read in bounded slices; repeated rows are counted each; an empty
-    table gives an empty one. `out` must be no column of docs. The tokenizer file is read on
-    the driver and broadcast with the proved strings: both are bounded by the vocabulary.
+    table gives an empty one. The tokenizer file is read on the driver and broadcast with the
+    proved strings; both are bounded by the vocabulary.
     """
-    if fresh(docs, out) != [out]:
-        raise ValueError(f"{out} is already a column")
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = f.read()
     specials = _checked(spec)

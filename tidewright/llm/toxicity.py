@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import travels
+from tidewright.llm.common import shielded, travels
 from tidewright.session import cut
 
 #: Most positive and most unlabelled texts that a model is trained on.
@@ -161,6 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     return fit(positives, others, prior if prior is not None else (ones or 0) / max(1, n))
 
 
+@shielded(["text"], ["out"])
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with a double column `out`: how likely the whole text is toxic.
 
