@@ -12,22 +12,22 @@ from pyspark.sql import functions as F
 
 from tidewright.session import cut
 
-#: Spellings that mean the same, after lower-casing: from, to. Applied in this order.
+#: Spellings that mean the same once case, punctuation and spaces are even: from, to. Applied in
+#: this order.
 SPELLINGS = (
-    ("©", "(c)"),
     ("licence", "license"),
-    ("sub-licens", "sublicens"),
-    ("non-infringement", "noninfringement"),
-    ("non-commercial", "noncommercial"),
-    ("share-alike", "sharealike"),
-    ("no-derivatives", "noderivatives"),
+    ("sub licens", "sublicens"),
+    ("non infringement", "noninfringement"),
+    ("non commercial", "noncommercial"),
+    ("share alike", "sharealike"),
+    ("no derivatives", "noderivatives"),
     ("acknowledgement", "acknowledgment"),
     ("merchantibility", "merchantability"),
     ("copyright holders", "copyright holder"),
     ("copyright owner", "copyright holder"),
 )
 #: A line of copyright, with the line break before it.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: What counts as punctuation or space: ASCII but letters and digits, and typographic signs.
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F ‐-―‘-‟•…«»·]+"
 #: Known licences are broadcast if there are at most so many digests.
@@ -36,11 +36,11 @@ BROADCAST_ROWS = 100_000
 
 def canonical(text: Column) -> Column:
     """Canonical form of a text: null stays null, a text without words becomes empty."""
-    c = F.lower(text)
+    c = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    c = F.btrim(F.regexp_replace(c, PUNCTUATION, " "))
     for a, b in SPELLINGS:
         c = F.replace(c, F.lit(a), F.lit(b))
-    c = F.regexp_replace(c, COPYRIGHT_LINE, "\n")
-    return F.btrim(F.regexp_replace(c, PUNCTUATION, " "))
+    return c
 
 
 def digest(text: Column) -> Column:

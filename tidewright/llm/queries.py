@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,14 +66,11 @@ def op3_sql() -> str:
     from tidewright.llm.licenses import COPYRIGHT_LINE, PUNCTUATION, SPELLINGS
 
     def canonical(x: str) -> str:
-        x = f"lower({x})"
+        x = f"regexp_replace(lower({x}), '{COPYRIGHT_LINE}', chr(10), 'g')"
+        x = f"trim(regexp_replace({x}, '{PUNCTUATION}', ' ', 'g'))"
         for a, b in SPELLINGS:
             x = f"replace({x}, '{a}', '{b}')"
-        marks = PUNCTUATION
-        for code in re.findall(r"\\u([0-9A-F]{4})", PUNCTUATION):
-            marks = marks.replace(f"\\u{code}", f"\\x{{{code}}}")
-        x = f"regexp_replace({x}, '{COPYRIGHT_LINE}', chr(10), 'g')"
-        return f"trim(regexp_replace({x}, '{marks}', ' ', 'g'))"
+        return x
 
     values = ", ".join("('{}', '{}')".format(*(v.replace("'", "''") for v in row)) for row in catalogue())
     return f"""
