@@ -114,6 +114,15 @@ class _Markdown(HTMLParser):
         else:
             self.line += s
 
+    def item(self) -> None:
+        """What is said so far as an item of the innermost list."""
+        if self.line.strip():
+            kind, n = self.lists[-1] if self.lists else ("ul", 0)
+            if self.lists:
+                self.lists[-1] = (kind, n + 1)
+            self.flush("  " * max(0, len(self.lists) - 1) + (f"{n + 1}. " if kind == "ol" else "- "))
+            self.stats["list_item"] += 1
+
     def handle_starttag(self, tag, attrs) -> None:
         a = dict(attrs)
         if tag == "title":
@@ -130,10 +139,10 @@ class _Markdown(HTMLParser):
             if self.cell is None:
                 self.flush()
         elif tag in ("ul", "ol"):
-            self.flush()
+            self.item() if self.lists else self.flush()
             self.lists.append((tag, 0))
         elif tag == "li":
-            self.flush()
+            self.item() if self.lists else self.flush()
         elif tag == "br":
             self.say(" " if self.cell is not None or not self.pre else "\n")
         elif tag == "hr":
@@ -207,14 +216,10 @@ class _Markdown(HTMLParser):
                 self.flush()
                 self.out.append("")
         elif tag == "li":
-            kind, n = self.lists[-1] if self.lists else ("ul", 0)
-            if self.lists:
-                self.lists[-1] = (kind, n + 1)
-            self.flush("  " * max(0, len(self.lists) - 1) + (f"{n + 1}. " if kind == "ol" else "- "))
-            self.stats["list_item"] += 1
+            self.item()
         elif tag in ("ul", "ol"):
-            self.flush()
             if self.lists:
+                self.item()
                 self.lists.pop()
             if not self.lists:
                 self.out.append("")

@@ -12,8 +12,8 @@ from tidewright.operators.history import content_hash
 
 def text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, text): whole files below a path of any store that Spark reads."""
-    r = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    df = (r.option("pathGlobFilter", glob) if glob else r).text(path)
+    r = spark.read.option("recursiveFileLookup", "true")
+    df = (r.option("pathGlobFilter", glob) if glob else r).text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
