@@ -48,11 +48,11 @@ def volume_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add("""WITH d AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders GROUP BY ALL), m AS (SELECT *, median(v) OVER (PARTITION BY o_orderpriority) AS median_v FROM d)
-SELECT o_orderpriority, day, round(v, 2) AS v, round(median_v, 2) AS median_v FROM m WHERE median_v > 0 AND v < 0.5 * median_v""")
+SELECT o_orderpriority, day, round(v, 4) AS v, round(median_v, 4) AS median_v FROM m WHERE median_v > 0 AND v < 0.5 * median_v""")
 def volume_drop_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days with less than half of the median order value, per priority."""
     v = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("v"))
-    return anomaly.volume_drop(v, ["o_orderpriority"], "v").withColumns({c: F.round(c, 2) for c in ("v", "median_v")})
+    return anomaly.volume_drop(v, ["o_orderpriority"], "v").withColumns({c: F.round(c, 4) for c in ("v", "median_v")})
 
 
 @registry.add("""WITH m AS (SELECT event_type, median(value) AS median_v FROM events GROUP BY 1),

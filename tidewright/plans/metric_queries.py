@@ -35,19 +35,19 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.evaluate(p.join(slo, "metric"), "metric", "day", "v", "slo")
 
 
-@registry.add(EVALUATED_SQL + "SELECT metric, day, round(v, 4) AS v, round(slo, 4) AS slo, round(avg_prev, 4) AS avg_prev, round(delta_pct, 4) AS delta_pct, delta_good, state, anomaly FROM e")
+@registry.add(EVALUATED_SQL + "SELECT metric, day, round(v, 6) AS v, round(slo, 6) AS slo, round(avg_prev, 6) AS avg_prev, round(delta_pct, 6) AS delta_pct, delta_good, state, anomaly FROM e")
 def metric_slo_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every daily point against its trailing window and SLO."""
-    r = [F.round(c, 4).alias(c) for c in ("v", "slo", "avg_prev", "delta_pct")]
+    r = [F.round(c, 6).alias(c) for c in ("v", "slo", "avg_prev", "delta_pct")]
     return evaluated(spark, sf_dir).select("metric", "day", *r, "delta_good", "state", "anomaly")
 
 
-@registry.add(EVALUATED_SQL + """SELECT metric, max(day) AS day, round(max_by(v, day), 4) AS v, round(max_by(avg_prev, day), 4) AS avg_prev, max_by(state, day) AS state,
-round(min(v), 4) AS low, round(max(v), 4) AS high, count(*) AS points FROM e GROUP BY metric""")
+@registry.add(EVALUATED_SQL + """SELECT metric, max(day) AS day, round(max_by(v, day), 6) AS v, round(max_by(avg_prev, day), 6) AS avg_prev, max_by(state, day) AS state,
+round(min(v), 6) AS low, round(max(v), 6) AS high, count(*) AS points FROM e GROUP BY metric""")
 def metric_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last point of each metric with the range of all."""
     e = evaluated(spark, sf_dir)
-    return e.groupBy("metric").agg(F.max("day").alias("day"), F.round(F.max_by("v", "day"), 4).alias("v"), F.round(F.max_by("avg_prev", "day"), 4).alias("avg_prev"), F.max_by("state", "day").alias("state"), F.round(F.min("v"), 4).alias("low"), F.round(F.max("v"), 4).alias("high"), F.count("*").alias("points"))
+    return e.groupBy("metric").agg(F.max("day").alias("day"), F.round(F.max_by("v", "day"), 6).alias("v"), F.round(F.max_by("avg_prev", "day"), 6).alias("avg_prev"), F.max_by("state", "day").alias("state"), F.round(F.min("v"), 6).alias("low"), F.round(F.max("v"), 6).alias("high"), F.count("*").alias("points"))
 
 
 @registry.add(EVALUATED_SQL + """, c AS (SELECT CASE WHEN metric IN ('purchase', 'signup') THEN 'business' WHEN metric = 'error' THEN 'health' ELSE 'traffic' END AS category, metric, max_by(state, day) AS state FROM e GROUP BY metric)
@@ -72,10 +72,10 @@ def metric_sparkline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.scaled(daily(spark, sf_dir), "metric", "v").select("metric", "day", F.round("scaled", 6).alias("scaled"))
 
 
-@registry.add("SELECT CAST(ts AS DATE) AS day, count(*) AS runs, round(100.0 * avg(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0 END), 1) AS rate FROM events GROUP BY 1")
+@registry.add("SELECT CAST(ts AS DATE) AS day, count(*) AS runs, round(100.0 * avg(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0 END), 6) AS rate FROM events GROUP BY 1")
 def success_rate_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of events that are no errors, per day."""
-    return opsagg.success_rate(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), ["day"], F.col("event_type") != "error")
+    return opsagg.success_rate(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), ["day"], F.col("event_type") != "error", digits=6)
 
 
 LAG_SQL = "SELECT l_orderkey, l_linenumber, l_suppkey, o_orderpriority, CAST(o_orderdate AS DATE) AS day, datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS lag_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
