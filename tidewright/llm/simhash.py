@@ -99,12 +99,19 @@ def close_links(values: DataFrame, fp: str = "fp", direct: int = DIRECT) -> Data
     return pairs.unionByName(stars).distinct()
 
 
-def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, seed: int) -> DataFrame:
-    """(doc_id, mark, fp, component) of each row; mark is a hash of the text."""
+def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, fp), mark a hash of the text, and fingerprints (fp, least, first,
+    component): the least id of each, its first row in order, and its component.
+
+    Copies are counted together before anything is joined, so that a large group of them is one
+    row; what is joined is read from written tables, so that Spark can split hot partitions."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = cut(fingerprints(rows, "text", "fp", width, seed).select("doc_id", F.xxhash64("text").alias("mark"), "fp"))
-    groups = connected_components(close_links(cut(rows.select("fp").distinct())), "a", "b")
-    return rows.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "mark", "fp", F.coalesce("component", "fp").alias("component"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    values = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(order).alias("first")))
+    groups = cut(connected_components(close_links(values.select("fp")), "a", "b"))
+    values = values.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return rows, values
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
@@ -118,9 +125,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component of such rows only has a null id. Repeated ids and rows keep a row each; an empty
     table gives an empty one; columns other than these two are ignored.
     """
-    rows = _labelled(docs, doc_id, text, width, seed)
-    named = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(named, "component").select("doc_id", "fp", "component_id")
+    rows, values = _labelled(docs, doc_id, text, width, seed)
+    named = cut(values.groupBy("component").agg(F.min("least").alias("component_id")))
+    ids = cut(values.join(named, "component").select("fp", "component_id"))
+    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 @shielded(["doc_id", "text"])
@@ -129,9 +137,8 @@ def first_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     The row with the least doc_id stays, nulls last; among rows that share it the one with the
     least text hash; of rows that repeat id and text, any one."""
-    rows = _labelled(docs, doc_id, text, width, seed)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    stay = rows.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    rows, values = _labelled(docs, doc_id, text, width, seed)
+    stay = values.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
     often = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("_n")).where("_n > 1")
     stay = stay.join(often, stay["_id"].eqNullSafe(often["doc_id"]) & (stay["_mark"] == often["mark"]), "left").select("_id", "_mark", F.coalesce("_n", F.lit(1)).alias("_n"))
     stay = cut(stay)
