@@ -110,7 +110,8 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """
     placed, sources = _plan(docs, doc_id, text, source, weights, share, most, block)
     placed = cut(placed)
-    times = draw_slots(sources, seed).groupBy("rank", "block").agg(F.count("*").alias("times"))
+    # unfolded slots look as small as the sources to the optimizer; they must not be broadcast
+    times = draw_slots(sources, seed).groupBy("rank", "block").agg(F.count("*").alias("times")).hint("merge")
     taken = _pieces(placed, block).join(times, ["rank", "block"], "left").groupBy("doc_id", "mark", "size", "rank", "start").agg(F.sum((F.col("stop") - F.col("first")) * F.coalesce("times", F.lit(0))).alias("taken"))
     taken = taken.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return taken.join(sources.select("rank", "source_size", "target"), "rank").select("doc_id", "mark", "size", "source_size", "target", "taken")
@@ -143,4 +144,5 @@ def mix_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     found = rows.select("rank", "start", "doc_id", F.explode(F.transform(F.array(words), pieces)[0]).alias("p")).select("rank", "p.block", F.struct("start", "doc_id", "p.piece").alias("p"))
     packed = found.groupBy("rank", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
     packed = packed.select("rank", "block", F.col("p.doc_id").alias("doc_ids"), F.array_join("p.piece", " ").alias("text"))
-    return draw_slots(sources, seed).join(packed, ["rank", "block"]).join(sources.select("rank", "source"), "rank").select("shard", "source", "slot", "block", "doc_ids", "text")
+    # unfolded slots look as small as the sources to the optimizer; they must not be broadcast
+    return draw_slots(sources, seed).hint("merge").join(packed, ["rank", "block"]).join(sources.select("rank", "source"), "rank").select("shard", "source", "slot", "block", "doc_ids", "text")
