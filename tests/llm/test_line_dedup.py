@@ -89,3 +89,27 @@ def test_no_python_in_the_plan(spark, sf):
     for q in (op3_license_scan, op7_line_dedup, op10_mix_sources):
         plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_repeated_runs_go_whole(spark):
+    """Runs of over 50 words in shorter lines, wherever chunks end, and whole copies."""
+    rng = random.Random(6)
+    runs = [[prose(rng, rng.choice([1, 9, 13, 20, 50])) for _ in range(rng.randint(2, 9))] for _ in range(40)]
+    runs = [r + [prose(rng, 30), "", prose(rng, 25)] for r in runs]
+    texts = ["\n".join([prose(rng, 8), *runs[i % 40], prose(rng, 7)]) for i in range(120)]
+    texts += [texts[3], texts[50]]
+    n = len(texts)
+    again = prose(rng, 20)
+    texts += ["\n".join([again] * 9), "\n".join(prose(rng, 5) for _ in range(8)), None, ""]
+    got = {r["doc_id"]: r for r in line_dedup.remove_repeats(with_clashes(docs(spark, texts))).collect()}
+    assert len(got) == len(texts)
+    for i in range(40):
+        assert got[i]["clean"]["text"] == texts[i] and got[i]["clean"]["n_lines"] == 0
+    for i in range(40, 120):
+        lines = texts[i].split("\n")
+        assert [x for x in got[i]["clean"]["text"].split("\n") if x] == [lines[0], lines[-1]]
+        assert i % 40 in got[i]["clean"]["first_ids"]
+    assert all(not got[i]["clean"]["text"].strip() for i in range(120, n))
+    # the first three lines of 20 words stay whole, what repeats them does not
+    assert got[n]["clean"]["text"] == "\n".join([again] * 3)
+    assert all(got[i]["clean"]["text"] == texts[i] for i in range(n + 1, len(texts)))

@@ -155,10 +155,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the chunks of lines that an earlier place has."""
-    from tidewright.llm.line_dedup import remove_repeated_chunks
+    """Every document without the chunks and runs of lines that an earlier place has."""
+    from tidewright.llm.line_dedup import remove_repeats
 
-    done = remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("clean.text").alias("text"), F.col("clean.n_chunks").alias("n_chunks"), F.col("clean.n_lines").alias("n_lines"), F.col("clean.first_ids").alias("first_ids"))
 
 
