@@ -76,3 +76,14 @@ def test_query_gives_the_articles(spark, sf):
         blocks = re.split(r"</?(?:p|h1|h2|li|ul|br|div)\b[^>]*>", body)
         want = " ".join(filter(None, (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks)))
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+def test_recurring_blocks_inside_articles_go(spark):
+    """Boxes without a word of markup that tells, but not copies, cells or words in sentences."""
+    box = "<div class=x1><p>Get the week in your inbox</p><ul><li>Here</li></ul></div><p>All rights are kept</p>"
+    page = lambda k: f"<nav>n</nav><article><h1>Story {k}</h1><p><b>Note</b> on {k}</p><table><tr><td>total</td><td>{k}</td></tr></table>{box if k % 4 else ''}</article>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(12)]
+    rows += [(100 + k, f"http://b.example/{k}", page(1)) for k in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[k] == f"Story {k} Note on {k} total {k}" for k in range(12))
+    assert all(got[100 + k] == "Story 1 Note on 1 total 1 Get the week in your inbox Here All rights are kept" for k in range(9))

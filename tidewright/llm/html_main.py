@@ -1,8 +1,9 @@
 """Main text of web pages by site template removal.
 
-Pages are parsed into element trees; every subtree outside a page's article is hashed; Spark
-counts on how many pages of a host a hash stands; subtrees that recur on many pages of their
-host are template and are deleted, and with them what is page furniture by its markup.
+Pages are parsed into element trees and every subtree is hashed. Spark counts on how many pages
+of a host a subtree outside of articles stands, and in how many different articles of a host a
+block inside of them; what recurs in many is template and is deleted, and with it what is page
+furniture by its markup.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from tidewright.session import cut
 #: A subtree is template if it stands on at least so many pages of its host and on at least
 #: this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
+#: Seeds of the hashes of subtrees outside and inside of articles, which are told apart.
+OUTSIDE, INSIDE = 0, 1
 #: Templates are broadcast if they take at most so many bytes; else pages are joined by key.
 BROADCAST_BYTES = 32 << 20
 
@@ -30,6 +33,8 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("thead", "tbody", "tfoot", "tr", "td", "th"), "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tfoot", "tr", "td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
+#: Blocks that mean something only among others; inside of articles they go with these only.
+PARTS = frozenset("br caption dd dt figcaption legend option summary tbody td tfoot th thead tr".split())
 #: Never main text, wherever they stand.
 FURNITURE = frozenset("script style noscript template nav aside form button select input textarea iframe object embed svg canvas audio video dialog menu head title footer noembed noframes xmp datalist search".split())
 #: Words of class, id, role or aria-label that mark furniture.
@@ -138,7 +143,7 @@ def _articles(root: Node) -> list[Node]:
     return []
 
 
-def _hashes(root: Node, skip: set[int]) -> dict[int, int]:
+def _hashes(root: Node, skip: set[int], seed: int = OUTSIDE) -> dict[int, int]:
     """64-bit hash of the subtree of each node that is not in skip, by id(node)."""
     import xxhash
 
@@ -150,7 +155,7 @@ def _hashes(root: Node, skip: set[int]) -> dict[int, int]:
             order.append(node)
             todo.extend(k for k in node.kids if isinstance(k, Node))
     for node in reversed(order):
-        h = xxhash.xxh64(f"{node.name} {node.own}".encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh64(f"{node.name} {node.own}".encode("utf-8", "surrogatepass"), seed=seed)
         for k in node.kids:
             if isinstance(k, Node):
                 h.update(out.get(id(k), 0).to_bytes(8, "little"))
@@ -160,11 +165,25 @@ def _hashes(root: Node, skip: set[int]) -> dict[int, int]:
     return out
 
 
-def subtree_hashes(page: str | None) -> list[int]:
-    """Distinct signed hashes of the subtrees outside the page's articles, those that hold none
-    of them and have some text."""
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _may_recur(node: Node) -> bool:
+    """Whether a node inside of an article can be template by itself: inline elements are words
+    of their sentence, cells of their row."""
+    return node.name in BLOCK and node.name not in PARTS
+
+
+def subtree_hashes(page: str | None) -> tuple[list[int], int | None, list[int]]:
+    """Distinct signed hashes of the subtrees with some text outside the page's articles, those
+    that hold none of them; the hash of its articles (null if none); and the hashes of the blocks
+    with some text inside of them."""
+    import xxhash
+
     root = parse(page)
-    articles = {id(a) for a in _articles(root)}
+    tops = _articles(root)
+    articles = {id(a) for a in tops}
     holds: set[int] = set()
 
     order, todo = [], [(root, None)]
@@ -180,12 +199,25 @@ def subtree_hashes(page: str | None) -> list[int]:
             continue
         todo.extend((k, node) for k in node.kids if isinstance(k, Node))
     hashes = _hashes(root, articles)
+    within: list[Node] = []
+    todo = list(tops)
+    while todo:
+        node = todo.pop()
+        within.append(node)
+        todo.extend(k for k in node.kids if isinstance(k, Node))
     worded: set[int] = set()
-    for node in reversed(order):
+    for node in reversed(order + within):
         if any(id(k) in worded if isinstance(k, Node) else k.strip() for k in node.kids):
             worded.add(id(node))
     found = {hashes[id(x)] for x in order if id(x) in hashes and id(x) not in holds and id(x) in worded and x.name not in ("#root", "html", "body")}
-    return sorted(h - (1 << 64) if h >> 63 else h for h in found)
+    if not tops:
+        return sorted(map(_signed, found)), None, []
+    inner: dict[int, int] = {}
+    for top in tops:
+        inner |= _hashes(top, set(), INSIDE)
+    blocks = {inner[id(x)] for x in within if id(x) not in articles and id(x) in worded and _may_recur(x)}
+    own = xxhash.xxh64(b"".join(inner[id(x)].to_bytes(8, "little") for x in tops), seed=INSIDE).intdigest()
+    return sorted(map(_signed, found)), _signed(own), sorted(map(_signed, blocks))
 
 
 def main_text(page: str | None, template: set[int]) -> str:
@@ -194,7 +226,9 @@ def main_text(page: str | None, template: set[int]) -> str:
     root = parse(page)
     articles = _articles(root)
     tops = articles or [root]
-    hashes = {} if articles or not template else _hashes(root, set())
+    hashes: dict[int, int] = {}
+    for top in tops if template else ():
+        hashes |= _hashes(top, set(), INSIDE if articles else OUTSIDE)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -214,8 +248,8 @@ def main_text(page: str | None, template: set[int]) -> str:
             if done:
                 flush()
                 continue
-            h = hashes.get(id(node), 0)
-            if node is not top and (_is_furniture(node, bool(articles)) or hashes and (h - (1 << 64) if h >> 63 else h) in template):
+            recurs = bool(hashes) and (not articles or _may_recur(node)) and _signed(hashes[id(node)]) in template
+            if node is not top and (_is_furniture(node, bool(articles)) or recurs):
                 if block:
                     flush()
                 continue
@@ -235,20 +269,31 @@ def host_of(url: str) -> F.Column:
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(host, hashes): subtrees that recur on at least least_pages pages of their host and on
-    the share least_share of them. Counts are over all pages; a page counts once."""
+    the share least_share of them. Counts are over all pages; a page counts once. For blocks
+    inside of articles, different articles of the host are counted in place of its pages, so
+    that copies of one article don't make it template."""
+    result = T.StructType([T.StructField("outside", T.ArrayType(T.LongType())), T.StructField("article", T.LongType()), T.StructField("inside", T.ArrayType(T.LongType()))])
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
+    @F.arrow_udf(result)
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = [pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
-            yield pa.array([subtree_hashes(p.as_py()) for p in batch], pa.list_(pa.int64()))
-
-    rows = pages.select(host_of(url).alias("host"), hashed(F.col(html).cast("string")).alias("hashes"))
-    # one pass: the page itself is counted under a null hash
-    seen = rows.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce("hashes", F.array().cast("array<bigint>")))).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+            found = [subtree_hashes(p.as_py()) for p in batch]
+            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], kinds[i]) for i in range(3)], names=["outside", "article", "inside"])
+
+    # one pass: the page itself is counted under a null hash, and so is its article
+    none = F.array(F.lit(None).cast("long"))
+    pair = lambda article: lambda h: F.struct(article.alias("article"), h.alias("hash"))
+    outside = F.transform(F.concat(none, "p.outside"), pair(F.lit(None).cast("long")))
+    inside = F.when(F.col("p.article").isNotNull(), F.transform(F.concat(none, "p.inside"), pair(F.col("p.article")))).otherwise(F.array().cast("array<struct<article:bigint,hash:bigint>>"))
+    rows = pages.select(host_of(url).alias("host"), hashed(F.col(html).cast("string")).alias("p"))
+    seen = rows.select("host", F.explode(F.concat(outside, inside)).alias("x")).groupBy("host", "x.article", "x.hash").agg(F.count("*").alias("n"))
+    within = F.col("article").isNotNull()
+    seen = seen.groupBy("host", within.alias("within"), "hash").agg(F.sum(F.when(within, F.lit(1)).otherwise(F.col("n"))).alias("n"))
     seen = cut(seen)
-    sizes = seen.where("hash IS NULL").select(F.col("host").alias("_host"), F.col("n").alias("n_pages"))
+    sizes = seen.where("hash IS NULL").select(F.col("host").alias("_host"), F.col("within").alias("_within"), F.col("n").alias("n_all"))
     often = seen.where(F.col("hash").isNotNull() & (F.col("n") >= least_pages))
-    often = often.join(sizes, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") >= least_share * F.col("n_pages"))
+    often = often.join(sizes, F.col("host").eqNullSafe(F.col("_host")) & (F.col("within") == F.col("_within"))).where(F.col("n") >= least_share * F.col("n_all"))
     return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
 
 
@@ -257,10 +302,10 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     """pages with a string column `out`, the main text of each whole page (empty if none).
 
     Null html is an empty page; a null URL is a host like any other; repeated pages count and
-    are extracted each; an empty table gives an empty one. Within a page's article only
-    furniture goes, so that text which articles share is never taken for template. A share of
-    at least a half of a host's pages holds few subtrees per host; they are broadcast if their
-    measured size allows, else joined by host.
+    are extracted each; an empty table gives an empty one. Within a page's article, furniture
+    and blocks that recur in the host's articles go; copies of one article count once, so they
+    stay. A share of at least a half of a host's pages holds few subtrees per host; they are
+    broadcast if their measured size allows, else joined by host.
     """
     host, cutoff = fresh(pages, "page_host", "page_template")
     found = cut(templates(pages, url, html, least_pages, least_share))
