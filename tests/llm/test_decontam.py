@@ -59,3 +59,15 @@ def test_empty_tables(spark):
 def test_cut_words_keeps_the_rest():
     assert decontam.cut_words("a, b; c d", [(1, 3)]) == "a, \n d"
     assert decontam.cut_words("é b", [(0, 2)]) == "\n"
+
+
+def test_long_texts_and_many_blocks(spark):
+    """More blocks than stay in memory, and a text longer than a chunk."""
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(8)]
+    long = "filler " * 400_000 + items[3][1] + " tail"
+    table = spark.createDataFrame(items, ITEMS)
+    got = decontam.find_leaks(docs(spark, [long, items[5][1], long]), table, block_words=12).orderBy("doc_id").collect()
+    assert [r["leaks"]["items"] for r in got] == [["3"], ["5"], ["3"]]
+    assert got[0]["leaks"]["spans"] == [[400_000, 400_012]] and got[0]["leaks"]["n_words"] == 400_013
+    kept = decontam.remove_leaks(docs(spark, [long, items[5][1], "clean"]), table, block_words=12).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in kept] == [0, 2] and kept[0]["text"] == "filler " * 400_000 + "\n tail"

@@ -1,14 +1,17 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
 The automaton is built over word numbers of the normalised items, on the driver, in blocks of
-bounded size, and broadcast. Documents are streamed through it word by word: the state gives the
-longest stretch ending here that some item contains, so every window of an item that stands in
-a document is seen, wherever it stands.
+bounded size, packed into flat arrays and broadcast. Documents are streamed through it word by
+word: the state gives the longest stretch ending here that some item contains, so every window
+of an item that stands in a document is seen, wherever it stands. If there are many blocks, a
+task holds one of them at a time.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +24,10 @@ from tidewright.llm.common import shielded, travels
 WINDOW = 10
 #: Most words of items in one automaton; more items make more automata.
 BLOCK_WORDS = 1_000_000
+#: Characters of the texts that are worked on at a time, one text at least.
+CHUNK = 2_000_000
+#: Blocks that a task keeps in memory; beyond, each is loaded anew for a batch of texts.
+RESIDENT = 2
 #: Bytes that are no part of a word become spaces, A-Z become a-z.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -105,49 +112,111 @@ class Automaton:
         lengths = [min(len(words), window) for words in numbered if words]
         self.least = min(lengths, default=window)
 
-    def stream(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Spans [start, end) of hit words, merged where they touch or overlap, and the states
-        of the windows that occur."""
-        get = self.ids.get
-        numbers = list(map(get, words))
-        spans: list[list[int]] = []
-        found: set[int] = set()
-        step, link, length, window, window_of, shorts = self.step, self.link, self.length, self.window, self.window_of, self.shorts
-        at, n = 0, len(numbers)
-        none = [i for i, x in enumerate(numbers) if x is None] if None in numbers else []
-        for stop in (*none, n):
-            if stop - at >= self.least:
-                v = size = 0
-                for j in range(at, stop):
-                    w = numbers[j]
-                    while v and w not in step[v]:
-                        v = link[v]
-                        size = length[v]
-                    nxt = step[v].get(w)
-                    if nxt is None:
-                        size = 0
-                        continue
-                    v, size = nxt, size + 1
-                    hit = 0
-                    if size >= window:
-                        # the state of the last `window` words is v's or one above it
-                        found.add(window_of[v])
-                        hit = size
-                    if shorts[v]:
-                        for k, s in shorts[v]:
-                            if k <= size:
-                                found.add(s)
-                                hit = max(hit, k)
-                    if hit:
-                        start = j + 1 - hit
-                        while spans and spans[-1][0] >= start:
-                            spans.pop()
-                        if spans and spans[-1][1] >= start:
-                            spans[-1][1] = j + 1
-                        else:
-                            spans.append([start, j + 1])
-            at = stop + 1
-        return [(a, b) for a, b in spans], found
+    def packed(self) -> tuple:
+        """The automaton as plain values, the fields of Packed: executors need no class of this
+        library to unpickle it, and a state takes some thirty bytes."""
+        n, width = len(self.length), len(self.ids)
+        first, only_word, only_next, more = array("i", [-1]) * width, array("i", [-1]) * n, array("i", [-1]) * n, {}
+        for v, step in enumerate(self.step):
+            for w, q in step.items():
+                if v == 0:
+                    first[w] = q
+                elif only_word[v] < 0:
+                    only_word[v], only_next[v] = w, q
+                else:
+                    more[v * width + w] = q
+        owner_at, owner_list = array("i", [0]), array("i")
+        for v in range(n):
+            owner_list.extend(sorted(self.owners.get(v, ())))
+            owner_at.append(len(owner_list))
+        shorts = {v: s for v, s in enumerate(self.shorts) if s}
+        return (self.window, self.least, self.ids, first, only_word, only_next, more, array("i", self.link), array("i", self.length), array("i", self.window_of), shorts, owner_at, owner_list)
+
+
+class Packed(NamedTuple):
+    """first: the root's next states by word; only_word and only_next: one step of each other
+    state; more: its other steps by state * words + word. Owners of v: owner_list from
+    owner_at[v] to owner_at[v + 1]."""
+
+    window: int
+    least: int
+    ids: dict[bytes, int]
+    first: array
+    only_word: array
+    only_next: array
+    more: dict[int, int]
+    link: array
+    length: array
+    window_of: array
+    shorts: dict[int, tuple[tuple[int, int], ...]]
+    owner_at: array
+    owner_list: array
+
+
+def stream(packed: tuple, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    """Spans [start, end) of hit words, merged where they touch or overlap, and the states
+    of the windows that occur."""
+    window, least, ids, first, only_word, only_next, more, link, length, window_of, shorts, _, _ = packed
+    numbers, width = list(map(ids.get, words)), len(ids)
+    spans: list[list[int]] = []
+    found: set[int] = set()
+    at, n = 0, len(numbers)
+    none = [i for i, x in enumerate(numbers) if x is None] if None in numbers else []
+    for stop in (*none, n):
+        if stop - at >= least:
+            v = size = 0
+            for j in range(at, stop):
+                w = numbers[j]
+                while v:
+                    nxt = only_next[v] if only_word[v] == w else more.get(v * width + w, -1)
+                    if nxt >= 0:
+                        break
+                    v = link[v]
+                    size = length[v]
+                else:
+                    nxt = first[w]
+                v, size = nxt, size + 1
+                hit = 0
+                if size >= window:
+                    # the state of the last `window` words is v's or one above it
+                    found.add(window_of[v])
+                    hit = size
+                if shorts and v in shorts:
+                    for k, s in shorts[v]:
+                        if k <= size:
+                            found.add(s)
+                            hit = max(hit, k)
+                if hit:
+                    start = j + 1 - hit
+                    while spans and spans[-1][0] >= start:
+                        spans.pop()
+                    if spans and spans[-1][1] >= start:
+                        spans[-1][1] = j + 1
+                    else:
+                        spans.append([start, j + 1])
+        at = stop + 1
+    return [(a, b) for a, b in spans], found
+
+
+def _each(sent: list) -> Iterator[tuple]:
+    """The blocks, one after the other; where there are many, none stays in memory."""
+    for b in sent:
+        yield b.value
+        if len(sent) > RESIDENT:
+            vars(b).pop("_value", None)
+
+
+def _chunks(batches: Iterator[pa.Array]) -> Iterator[tuple[list[str | None], bool]]:
+    """The texts in lists of CHUNK characters, and whether a list is the last of its batch."""
+    for batch in batches:
+        part, size = [], 0
+        for t in batch:
+            part.append(t.as_py())
+            size += len(part[-1] or "")
+            if size >= CHUNK:
+                yield part, False
+                part, size = [], 0
+        yield part, True
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[tuple[list[str | None], list[list[bytes]]]]:
@@ -178,27 +247,32 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     with a window that occurs. A window is `window` consecutive words of an item; an item of
     fewer words, but not none, is one window. Null texts have no words; items without an id
     hit, but have no id to list; repeated items count once. The automaton of a block is bounded
-    by block_words; many items make several, each streamed in the same pass.
+    by block_words; many items make several, each streamed in the same pass and, if they are
+    more than RESIDENT, one at a time in memory. Texts are read whole, however long; an empty
+    table gives an empty one, and without items nothing is hit.
     """
     sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast((ids, Automaton(lists, window))) for ids, lists in _blocks(items, item_id, item_text, block_words)]
+    sent = [sc.broadcast((ids, Automaton(lists, window).packed())) for ids, lists in _blocks(items, item_id, item_text, block_words)]
 
     @F.arrow_udf(FOUND)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            sizes, spans, names = [], [], []
-            for t in batch:
-                words = item_words(t.as_py())
-                hits, owners = [], set()
-                for b in sent:
-                    ids, automaton = b.value
-                    own, found = automaton.stream(words)
-                    hits.append(own)
-                    owners.update(ids[k] for s in found for k in automaton.owners[s])
-                sizes.append(len(words))
-                spans.append(merged(hits))
-                names.append(sorted(owners - {None}))
+        sizes, spans, names = [], [], []
+        for part, last in _chunks(batches):
+            texts = [item_words(t) for t in part]
+            hits, owners = [[] for _ in texts], [set() for _ in texts]
+            for ids, packed in _each(sent):
+                owner_at, owner_list = packed[-2:]
+                for own, who, words in zip(hits, owners, texts, strict=True):
+                    at, found = stream(packed, words)
+                    own.append(at)
+                    who.update(ids[k] for s in found for k in owner_list[owner_at[s] : owner_at[s + 1]])
+            sizes += [len(w) for w in texts]
+            spans += [merged(h) for h in hits]
+            names += [sorted(o - {None}) for o in owners]
+            if not last:
+                continue
             yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+            sizes, spans, names = [], [], []
 
     return docs.withColumn(out, scan(F.col(text).cast("string")))
 
@@ -223,32 +297,42 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
 
     A cut takes the text from the first byte of a span's first word to the last byte of its
     last and leaves one line break. What then meets can make a window again, so cutting
-    repeats until no span is over the limit. Other texts stay as they are, null too. Column
-    `n_chars`, if named, is set to the code points of a changed text.
+    repeats until no span is over the limit. Other texts stay as they are, null too; texts of
+    any length are read whole; repeated rows are treated alike; an empty table gives an empty
+    one. Column `n_chars`, if named, is set to the code points of a changed text.
     """
     sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(Automaton(lists, window)) for _, lists in _blocks(items, item_id, item_text, block_words)]
+    sent = [sc.broadcast(Automaton(lists, window).packed()) for _, lists in _blocks(items, item_id, item_text, block_words)]
 
     @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("keep", T.BooleanType())]))
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            texts, keeps = [], []
-            for t in batch:
-                whole = t.as_py()
-                rest, lost = whole, 0
-                n = len(item_words(whole))
-                while rest:
-                    spans = merged([b.value.stream(item_words(rest))[0] for b in sent])
-                    if not (spans := [s for s in spans if s[1] - s[0] > max_span]):
-                        break
-                    lost += sum(b - a for a, b in spans)
-                    rest = cut_words(rest, spans)
-                texts.append(rest)
-                keeps.append(lost <= max_coverage * n)
-            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(keeps, pa.bool_())], ["text", "keep"])
+        done, keeps = [], []
+        for texts, last in _chunks(batches):
+            sizes, lost = [len(item_words(t)) for t in texts], [0] * len(texts)
+            todo = [i for i, t in enumerate(texts) if t]
+            while todo:
+                words = [item_words(texts[i]) for i in todo]
+                hits: list[list] = [[] for _ in todo]
+                for packed in _each(sent):
+                    for own, w in zip(hits, words, strict=True):
+                        own.append(stream(packed, w)[0])
+                again = []
+                for i, own in zip(todo, hits, strict=True):
+                    if spans := [s for s in merged(own) if s[1] - s[0] > max_span]:
+                        lost[i] += sum(b - a for a, b in spans)
+                        texts[i] = cut_words(texts[i], spans)
+                        again.append(i)
+                todo = again
+            done += texts
+            keeps += [k <= max_coverage * n for k, n in zip(lost, sizes, strict=True)]
+            if not last:
+                continue
+            yield pa.StructArray.from_arrays([pa.array(done, pa.string()), pa.array(keeps, pa.bool_())], ["text", "keep"])
+            done, keeps = [], []
 
     names = docs.columns
-    done = docs.withColumn("_clean", clean(F.col(text).cast("string"))).where("_clean.keep")
+    # not deterministic, so that it isn't run once for the filter and again for the text
+    done = docs.withColumn("_clean", clean.asNondeterministic()(F.col(text).cast("string"))).where("_clean.keep")
     if n_chars:
         done = done.withColumn(n_chars, F.when(F.col(text).eqNullSafe(F.col("_clean.text")), F.col(n_chars)).otherwise(F.char_length("_clean.text").cast(docs.schema[n_chars].dataType)))
     return done.withColumn(text, F.col("_clean.text")).select(*(F.col(f"`{c}`") for c in names))
