@@ -87,3 +87,27 @@ def test_empty_cases(spark):
     rows = mixing.mix_documents(docs(spark, [None, "", " "], ["a", "a", None])).collect()
     assert [(r["size"], r["taken"], r["target"]) for r in rows] == [(0, 0, 0.0)] * 3
     assert mixing.mix_blocks(docs(spark, [None, ""], ["a", "b"])).count() == 0
+
+
+def test_counts_are_multinomial(spark):
+    """Counts add up, first slots follow on, and their spread is that of a multinomial."""
+    n = 400_000
+    sources = spark.createDataFrame([(1, 50_000, n), (2, 3, 5), (3, 9, 0)], "rank long, n_blocks long, n_slots long")
+    rows = [r for r in mixing.draw_counts(sources).collect() if r["rank"] == 1]
+    rows.sort(key=lambda r: r["first"])
+    assert [r["shard"] for r in rows] == list(range(512))
+    assert [r["first"] for r in rows] == [sum(x["n"] for x in rows[:i]) for i in range(512)] and sum(r["n"] for r in rows) == n
+    mean = n / 512
+    chi = sum((r["n"] - mean) ** 2 / mean for r in rows)
+    assert 511 - 5 * (2 * 511) ** 0.5 < chi < 511 + 5 * (2 * 511) ** 0.5
+    slots = mixing.draw_slots(sources).groupBy("rank").count().collect()
+    assert {r["rank"]: r["count"] for r in slots} == {1: n, 2: 5}
+    assert mixing.draw_counts(sources).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ids_of_any_type(spark):
+    from pyspark.sql import functions as F
+
+    df = docs(spark, ["a b c", "d e", None, "f"], ["x", "x", "y", None]).withColumn("doc_id", F.concat(F.lit("id-"), "doc_id"))
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_documents(df).collect()} == {"id-0": 3, "id-1": 2, "id-2": 0, "id-3": 1}
+    assert {i for r in mixing.mix_blocks(df).collect() for i in r["doc_ids"]} <= {"id-0", "id-1", "id-3"}
