@@ -6,15 +6,21 @@ compare their members directly. A bucket with many members is settled exactly wi
 two fingerprints differ in at most two bits if and only if some value lies within one bit of
 both, so each member is filed under itself and its 64 one-bit neighbours, and a file, which
 can't hold more than 65 different fingerprints, links all of its members.
+
+For a stated similarity of shingle sets a wide fingerprint is used: its bits differ with a known
+probability, so block length and number follow from the corpus and the recall that is wanted.
+Pairs that share a block are verified by the Hamming distance of the whole fingerprints, and by
+their shingles where that is too near the limit to tell.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +34,10 @@ BLOCKS = (13, 13, 13, 13, 12)
 DIRECT = 16
 #: Shingles of a text that are hashed at a time.
 SLICE = 100_000
+#: Shingles of a text whose wide bits are summed at a time, and words the sum mixes per shingle.
+WIDE_SLICE = 2_048
+#: Standard deviations of a fingerprint's distance within which shingles decide.
+DOUBT = 3.0
 
 travels(__name__)
 
@@ -131,13 +141,172 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def plan_blocks(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(bits of a block, number of blocks) for n texts.
+
+    A bit of two sets with this Jaccard similarity differs with probability angle / pi. Blocks
+    have two bits more than n needs, so that texts without likeness meet under a block about
+    once in four files, at any n; there are as many as `recall` takes."""
+    bits = min(30, max(12, math.ceil(math.log2(max(2, n))) + 2))
+    same = (1 - _differs(similarity)) ** bits
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
+
+
+def _differs(similarity: float) -> float:
+    """Probability that a bit differs, for sets of equal size with this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def shingle_set(text: str | None, width: int, seed: int):
+    """Sorted distinct XXH64 of the shingles: width words, or the whole of a shorter text."""
+    import numpy as np
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    width = min(width, len(words))
+    shingles = set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles)))
+
+
+def wide_fingerprint(shingles, bits: int, blocks: int) -> list[int]:
+    """SimHash of bits * blocks bits over a shingle set, as one int a block."""
+    import numpy as np
+
+    n, words = len(shingles), -(-bits * blocks // 64)
+    ones = np.zeros(64 * words, np.int64)
+    salts = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for at in range(0, n, WIDE_SLICE):
+        h = shingles[at : at + WIDE_SLICE, None] ^ salts
+        # the finishing rounds of splitmix64 (fixed values)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    table = (2 * ones > n)[: bits * blocks].reshape(blocks, bits)
+    return (table @ (1 << np.arange(bits))).tolist()
+
+
+def _wide(rows: DataFrame, text: str, out: str, width: int, seed: int, bits: int, blocks: int) -> DataFrame:
+    """rows with a struct `out`: same (hash of the shingle set), n (its size), fp."""
+    kind = T.StructType([T.StructField("same", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.ArrayType(T.IntegerType()))])
+
+    @F.arrow_udf(kind)
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import xxhash
+
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), width, seed) for t in batch]
+            same = (int.from_bytes(xxhash.xxh64_digest(s.astype("<u8").tobytes(), seed), "little", signed=True) for s in sets)
+            fps = [wide_fingerprint(s, bits, blocks) for s in sets]
+            yield pa.StructArray.from_arrays([pa.array(same, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps, pa.list_(pa.int32()))], ["same", "n", "fp"])
+
+    return rows.withColumn(out, hashed(F.col(text).cast("string")))
+
+
+def similar_links(values: DataFrame, texts: DataFrame, similarity: float, bits: int, blocks: int, width: int, seed: int, direct: int = DIRECT) -> DataFrame:
+    """Links (a, b) between shingle sets that share a block and are similar enough.
+
+    values: one row per set, (same, n, fp); texts: (same, text), one row per set at least. Files
+    of up to `direct` sets compare all of them; a larger one links them to its least set, and
+    those that are not similar to it go on as a file of their own, until none is left."""
+    p, total = _differs(similarity), bits * blocks
+    peek = 63 // bits
+    most_peek = p * peek * bits + 4.5 * math.sqrt(peek * bits * p * (1 - p))
+    head = F.lit(0).cast("long")
+    for i in range(peek):
+        head = head + F.col("fp")[i].cast("long") * (1 << (bits * i))
+    keys = F.transform("fp", lambda x, i: i.cast("long") * (1 << 31) + x)
+    filed = values.where("n > 0").select(F.explode(keys).alias("key"), F.struct("same", "n", head.alias("head")).alias("m"))
+    shared = cut(filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    pending = cut(filed.join(shared, "key"))
+
+    def may_be(a: Column, b: Column) -> Column:
+        size = (a["n"] >= similarity * 0.95 * b["n"]) & (b["n"] >= similarity * 0.95 * a["n"])
+        return size & (F.bit_count(a["head"].bitwiseXOR(b["head"])) <= most_peek)
+
+    found = []
+    while True:
+        small = pending.where(F.col("members") <= direct).groupBy("key").agg(F.collect_list("m").alias("ms"))
+        near = lambda a: F.transform(F.filter("ms", lambda b: (b["same"] > a["same"]) & may_be(a, b)), lambda b: F.struct(a["same"].alias("a"), b["same"].alias("b")))
+        pairs = small.select(F.explode(F.flatten(F.transform("ms", near))).alias("p")).select("p.a", "p.b").distinct()
+        found.append(_verified(cut(pairs), values, texts, similarity, p, total, width, seed))
+        large = pending.where(F.col("members") > direct)
+        least = large.groupBy("key").agg(F.min("m").alias("rep"))
+        starred = cut(large.join(least, "key").where(F.col("m.same") != F.col("rep.same")).select("key", "m", F.col("rep.same").alias("a"), F.col("m.same").alias("b"), may_be(F.col("rep"), F.col("m")).alias("may")))
+        if not starred.limit(1).count():
+            break
+        good = _verified(cut(starred.where("may").select("a", "b").distinct()), values, texts, similarity, p, total, width, seed)
+        found.append(good)
+        rest = starred.join(good, ["a", "b"], "left_anti").select("key", "m")
+        again = rest.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        pending = cut(rest.join(again, "key"))
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links
+
+
+def _verified(pairs: DataFrame, values: DataFrame, texts: DataFrame, similarity: float, p: float, total: int, width: int, seed: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: by the fingerprints' distance, or by the sets
+    themselves where it lies within DOUBT standard deviations of the limit."""
+    side = lambda x: values.select(F.col("same").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}"))
+    distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", distance.alias("d"))
+    # of sets of other sizes, this much similarity takes this angle
+    n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    cosine = F.least(F.lit(1.0), similarity / (1 + similarity) * (n_a + n_b) / F.sqrt(n_a * n_b))
+    spread = DOUBT * math.sqrt(total * p * (1 - p))
+    over = F.col("d") - F.acos(cosine) / math.pi * total
+    both = cut(both.select("a", "b", over.alias("over")).where(F.col("over") <= spread))
+    clear, doubt = both.where(F.col("over") < -spread).select("a", "b"), both.where(F.col("over") >= -spread).select("a", "b")
+    named = doubt.select(F.col("a").alias("same")).unionByName(doubt.select(F.col("b").alias("same"))).distinct()
+    own = cut(texts.join(named, "same").dropDuplicates(["same"]))
+
+    @F.arrow_udf(T.BooleanType())
+    def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import numpy as np
+
+        for x, y in batches:
+            out = []
+            for s, t in zip(x, y, strict=True):
+                s, t = shingle_set(s.as_py(), width, seed), shingle_set(t.as_py(), width, seed)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                out.append(both >= similarity * (len(s) + len(t) - both))
+            yield pa.array(out, pa.bool_())
+
+    seen = doubt.join(own.select(F.col("same").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("same").alias("b"), F.col("text").alias("y")), "b")
+    return cut(clear.unionByName(seen.where(alike("x", "y")).select("a", "b")))
+
+
 @shielded(["doc_id", "text"])
-def first_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """docs with one row of each near-duplicate group; columns as they were.
+def first_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.9, seed: int = 42) -> DataFrame:
+    """docs with one row of each group of similar texts; columns as they were.
 
-    The row with the least doc_id stays, nulls last; among rows that share it the one with the
-    least text hash; of rows that repeat id and text, any one."""
-    rows, values = _labelled(docs, doc_id, text, width, seed)
+    Texts are linked if the sets of their shingles (`width` words, A-Z lower-cased; a shorter
+    text is one) have a Jaccard similarity of `similarity` or more; a pair at that limit is found
+    with probability `recall`, closer ones nearly always, equal sets always. Groups are what
+    links reach. The row with the least doc_id stays, nulls last; among rows that share it the
+    one with the least text hash; of rows that repeat id and text, any one. Texts without words
+    (null, empty) are one group; texts are read whole, however long; an empty table gives an
+    empty one."""
+    bits, blocks = plan_blocks(docs.count(), similarity, recall)
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = _wide(plain, "text", "w", width, seed, bits, blocks)
+    rows = cut(rows.select("doc_id", F.xxhash64("text").alias("mark"), "w.same", "w.n", "w.fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    values = cut(rows.groupBy("same").agg(F.min(order).alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp")))
+    at = values.select("same", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    texts = plain.join(at, plain["doc_id"].eqNullSafe(at["_id"]) & (F.xxhash64(plain["text"]) == at["_mark"])).select("same", "text")
+    links = similar_links(values.select("same", "n", "fp"), texts, similarity, bits, blocks, width, seed)
+    groups = cut(connected_components(links, "a", "b"))
+    values = values.select("same", "first").join(groups.withColumnRenamed("node", "same"), "same", "left").withColumn("component", F.coalesce("component", "same"))
+    return _firsts(docs, doc_id, text, rows, values)
+
+
+def _firsts(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, values: DataFrame) -> DataFrame:
+    """The rows of docs that are the first of their component, one each."""
     stay = values.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
     often = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("_n")).where("_n > 1")
     stay = stay.join(often, stay["_id"].eqNullSafe(often["doc_id"]) & (stay["_mark"] == often["mark"]), "left").select("_id", "_mark", F.coalesce("_n", F.lit(1)).alias("_n"))
@@ -147,3 +316,15 @@ def first_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         return kept.select(*(docs[c] for c in docs.columns))
     own = [docs[c] for c in docs.columns]
     return kept.where("_n = 1").select(*own).unionByName(kept.where("_n > 1").dropDuplicates(["_id", "_mark"]).select(*own))
+
+
+@shielded(["doc_id", "text"])
+def first_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
+    """docs with one row of each near-duplicate group; columns as they were.
+
+    Groups as in near_duplicates: null, empty and wordless texts are one fingerprint; texts are
+    read whole; an empty table gives an empty one. The row with the least doc_id stays, nulls
+    last; among rows that share it the one with the least text hash; of rows that repeat id and
+    text, any one."""
+    rows, values = _labelled(docs, doc_id, text, width, seed)
+    return _firsts(docs, doc_id, text, rows, values)
