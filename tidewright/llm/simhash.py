@@ -36,6 +36,10 @@ DIRECT = 16
 SLICE = 100_000
 #: Shingles of a text whose wide bits are summed at a time, and words the sum mixes per shingle.
 WIDE_SLICE = 2_048
+#: Largest file of sets that share a block whose members are all compared.
+FILE = 64
+#: Times a larger file is divided by further bits.
+LEVELS = 6
 #: Standard deviations of a fingerprint's distance within which shingles decide.
 DOUBT = 3.0
 
@@ -171,20 +175,24 @@ def shingle_set(text: str | None, width: int, seed: int):
 
 
 def wide_fingerprint(shingles, bits: int, blocks: int) -> list[int]:
-    """SimHash of bits * blocks bits over a shingle set, as one int a block."""
+    """SimHash of bits * blocks bits over a shingle set, as one int a block. Where as many
+    shingles have a bit as have not, the first decides: small sets would share zeros else."""
     import numpy as np
 
     n, words = len(shingles), -(-bits * blocks // 64)
     ones = np.zeros(64 * words, np.int64)
     salts = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    tied = np.zeros(64 * words, bool)
     for at in range(0, n, WIDE_SLICE):
         h = shingles[at : at + WIDE_SLICE, None] ^ salts
         # the finishing rounds of splitmix64 (fixed values)
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    table = (2 * ones > n)[: bits * blocks].reshape(blocks, bits)
+        set_bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+        tied = tied if at else set_bits[0].astype(bool)
+        ones += set_bits.sum(axis=0, dtype=np.int32)
+    table = ((2 * ones > n) | ((2 * ones == n) & tied))[: bits * blocks].reshape(blocks, bits)
     return (table @ (1 << np.arange(bits))).tolist()
 
 
@@ -205,12 +213,16 @@ def _wide(rows: DataFrame, text: str, out: str, width: int, seed: int, bits: int
     return rows.withColumn(out, hashed(F.col(text).cast("string")))
 
 
-def similar_links(values: DataFrame, texts: DataFrame, similarity: float, bits: int, blocks: int, width: int, seed: int, direct: int = DIRECT) -> DataFrame:
+def similar_links(values: DataFrame, texts: DataFrame, similarity: float, bits: int, blocks: int, width: int, seed: int, direct: int = FILE) -> DataFrame:
     """Links (a, b) between shingle sets that share a block and are similar enough.
 
     values: one row per set, (same, n, fp); texts: (same, text), one row per set at least. Files
-    of up to `direct` sets compare all of them; a larger one links them to its least set, and
-    those that are not similar to it go on as a file of their own, until none is left."""
+    of up to `direct` sets compare all of them. In larger ones each set is first compared with
+    the least set of any of its files; what that links is one member of a file from then on.
+    Files still larger are divided by further bits, chosen file by file, until they are small; in
+    such crowds of sets that share blocks without likeness a pair at the limit is found less
+    often than elsewhere. What LEVELS divisions leave, sets whose bits agree, is linked to the
+    least of its file. Texts are read once, for doubtful pairs."""
     p, total = _differs(similarity), bits * blocks
     peek = 63 // bits
     most_peek = p * peek * bits + 4.5 * math.sqrt(peek * bits * p * (1 - p))
@@ -219,38 +231,48 @@ def similar_links(values: DataFrame, texts: DataFrame, similarity: float, bits:
         head = head + F.col("fp")[i].cast("long") * (1 << (bits * i))
     keys = F.transform("fp", lambda x, i: i.cast("long") * (1 << 31) + x)
     filed = values.where("n > 0").select(F.explode(keys).alias("key"), F.struct("same", "n", head.alias("head")).alias("m"))
-    shared = cut(filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    shared = cut(filed.groupBy("key").agg(F.count("*").alias("members"), F.min("m").alias("rep")).where("members > 1"))
     pending = cut(filed.join(shared, "key"))
 
     def may_be(a: Column, b: Column) -> Column:
         size = (a["n"] >= similarity * 0.95 * b["n"]) & (b["n"] >= similarity * 0.95 * a["n"])
         return size & (F.bit_count(a["head"].bitwiseXOR(b["head"])) <= most_peek)
 
-    found = []
-    while True:
+    def judged(pairs: DataFrame) -> DataFrame:
+        return _distances(cut(pairs.distinct()), values, similarity, p, total)
+
+    crowded = pending.where(F.col("members") > direct)
+    nearest = crowded.where((F.col("m.same") != F.col("rep.same")) & may_be(F.col("rep"), F.col("m"))).groupBy(F.col("m.same").alias("b")).agg(F.min("rep.same").alias("a"))
+    found = [judged(nearest.select("a", "b"))]
+    joined = cut(connected_components(found[0].where("sure"), "a", "b"))
+    pending = pending.select("key", "m").join(joined.select(F.col("node").alias("_node"), "component"), F.col("m.same") == F.col("_node"), "left")
+    pending = cut(pending.groupBy("key", F.coalesce("component", "m.same").alias("_set")).agg(F.min("m").alias("m")).select("key", "m"))
+    for level in range(LEVELS + 1):
+        sizes = pending.groupBy("key").agg(F.count("*").alias("members"), F.min("m").alias("rep")).where("members > 1")
+        pending = cut(pending.join(sizes, "key"))
         small = pending.where(F.col("members") <= direct).groupBy("key").agg(F.collect_list("m").alias("ms"))
         near = lambda a: F.transform(F.filter("ms", lambda b: (b["same"] > a["same"]) & may_be(a, b)), lambda b: F.struct(a["same"].alias("a"), b["same"].alias("b")))
-        pairs = small.select(F.explode(F.flatten(F.transform("ms", near))).alias("p")).select("p.a", "p.b").distinct()
-        found.append(_verified(cut(pairs), values, texts, similarity, p, total, width, seed))
-        large = pending.where(F.col("members") > direct)
-        least = large.groupBy("key").agg(F.min("m").alias("rep"))
-        starred = cut(large.join(least, "key").where(F.col("m.same") != F.col("rep.same")).select("key", "m", F.col("rep.same").alias("a"), F.col("m.same").alias("b"), may_be(F.col("rep"), F.col("m")).alias("may")))
-        if not starred.limit(1).count():
+        found.append(judged(small.select(F.explode(F.flatten(F.transform("ms", near))).alias("p")).select("p.a", "p.b")))
+        crowded = pending.where(F.col("members") > direct)
+        if not crowded.limit(1).count():
             break
-        good = _verified(cut(starred.where("may").select("a", "b").distinct()), values, texts, similarity, p, total, width, seed)
-        found.append(good)
-        rest = starred.join(good, ["a", "b"], "left_anti").select("key", "m")
-        again = rest.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        pending = cut(rest.join(again, "key"))
+        if level == LEVELS:
+            found.append(judged(crowded.where((F.col("m.same") != F.col("rep.same")) & may_be(F.col("rep"), F.col("m"))).select(F.col("rep.same").alias("a"), F.col("m.same").alias("b"))))
+            break
+        # as many more bits as should leave half of `direct`; which ones differs from file to file
+        more = F.least(F.lit(16), F.ceil(F.log2(F.col("members") / direct)).cast("int") + 1)
+        at = F.pmod(F.xxhash64("key", F.lit(level)), (peek * bits - more).cast("long")).cast("int")
+        piece = F.call_function("shiftright", F.col("m.head"), at).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), more) - 1)
+        pending = crowded.select(F.xxhash64("key", F.lit(level), piece).alias("key"), "m")
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
-    return links
+    return _settled(links, texts, similarity, width, seed)
 
 
-def _verified(pairs: DataFrame, values: DataFrame, texts: DataFrame, similarity: float, p: float, total: int, width: int, seed: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: by the fingerprints' distance, or by the sets
-    themselves where it lies within DOUBT standard deviations of the limit."""
+def _distances(pairs: DataFrame, values: DataFrame, similarity: float, p: float, total: int) -> DataFrame:
+    """Pairs (a, b) whose fingerprints allow for the similarity, with `sure` where they lie more
+    than DOUBT standard deviations inside of the limit."""
     side = lambda x: values.select(F.col("same").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}"))
     distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", distance.alias("d"))
@@ -259,25 +281,26 @@ def _verified(pairs: DataFrame, values: DataFrame, texts: DataFrame, similarity:
     cosine = F.least(F.lit(1.0), similarity / (1 + similarity) * (n_a + n_b) / F.sqrt(n_a * n_b))
     spread = DOUBT * math.sqrt(total * p * (1 - p))
     over = F.col("d") - F.acos(cosine) / math.pi * total
-    both = cut(both.select("a", "b", over.alias("over")).where(F.col("over") <= spread))
-    clear, doubt = both.where(F.col("over") < -spread).select("a", "b"), both.where(F.col("over") >= -spread).select("a", "b")
-    named = doubt.select(F.col("a").alias("same")).unionByName(doubt.select(F.col("b").alias("same"))).distinct()
-    own = cut(texts.join(named, "same").dropDuplicates(["same"]))
+    return cut(both.select("a", "b", over.alias("over")).where(F.col("over") <= spread).select("a", "b", (F.col("over") < -spread).alias("sure")))
+
 
-    @F.arrow_udf(T.BooleanType())
-    def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        import numpy as np
+def _settled(pairs: DataFrame, texts: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
+    """The sure pairs, and of the others those whose shingle sets are similar."""
+    pairs = cut(pairs.groupBy("a", "b").agg(F.bool_or("sure").alias("sure")))
+    clear, doubt = pairs.where("sure").select("a", "b"), pairs.where("NOT sure").select("a", "b")
+    named = cut(doubt.select(F.col("a").alias("same")).unionByName(doubt.select(F.col("b").alias("same"))).distinct())
+    own = texts.join(named, "same").dropDuplicates(["same"])
 
-        for x, y in batches:
-            out = []
-            for s, t in zip(x, y, strict=True):
-                s, t = shingle_set(s.as_py(), width, seed), shingle_set(t.as_py(), width, seed)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                out.append(both >= similarity * (len(s) + len(t) - both))
-            yield pa.array(out, pa.bool_())
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingle_set(t.as_py(), width, seed).view("<i8").tolist() for t in batch], pa.list_(pa.int64()))
 
-    seen = doubt.join(own.select(F.col("same").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("same").alias("b"), F.col("text").alias("y")), "b")
-    return cut(clear.unionByName(seen.where(alike("x", "y")).select("a", "b")))
+    own = cut(own.select("same", hashed(F.col("text").cast("string")).alias("s")))
+    seen = doubt.join(own.select(F.col("same").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("same").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    seen = seen.withColumn("both", common).where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")))
+    return clear.unionByName(seen.select("a", "b"))
 
 
 @shielded(["doc_id", "text"])
@@ -298,6 +321,7 @@ def first_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     values = cut(rows.groupBy("same").agg(F.min(order).alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp")))
     at = values.select("same", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    # joined where doubtful pairs need it, once
     texts = plain.join(at, plain["doc_id"].eqNullSafe(at["_id"]) & (F.xxhash64(plain["text"]) == at["_mark"])).select("same", "text")
     links = similar_links(values.select("same", "n", "fp"), texts, similarity, bits, blocks, width, seed)
     groups = cut(connected_components(links, "a", "b"))
