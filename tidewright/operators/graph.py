@@ -11,7 +11,7 @@ from tidewright.session import cut
 
 #: Which way impact flows along a relation (fixed values of the data model): forward from src
 #: to dst, or back; others carry none.
-FORWARD, BACK = {"writes": "writes", "builds": "builds", "swaps": "swaps"}, {"reads": "read by", "alias_of": "exposed as", "depends_on": "required by"}
+FORWARD, BACK = {"writes": "writes", "builds": "builds", "swaps": "swaps"}, {"reads": "read by", "alias_of": "served as", "depends_on": "triggers"}
 
 
 def edges_of(df: DataFrame, src, rel: str, dst, source: str) -> DataFrame:
@@ -41,8 +41,9 @@ def walk(flows: DataFrame, starts: DataFrame, hops: int = 3, up: bool = False) -
     """(start, id, distance, via, label): what each start (column id) reaches in at most `hops`
     steps, at its least distance, with the least predecessor there; without the start itself.
 
-    One join per hop on the frontier only; what was reached before is anti-joined away."""
-    step = flows.select(*((F.col("b").alias("at"), F.col("a").alias("to")) if up else (F.col("a").alias("at"), F.col("b").alias("to"))), "label")
+    The flow is written once; one join per hop on the frontier only; what was reached before is
+    anti-joined away."""
+    step = cut(flows.select(*((F.col("b").alias("at"), F.col("a").alias("to")) if up else (F.col("a").alias("at"), F.col("b").alias("to"))), "label"))
     frontier = starts.select(F.col("id").alias("start"), "id").distinct()
     reached = frontier.withColumns({"distance": F.lit(0), "via": F.lit(None).cast("string"), "label": F.lit(None).cast("string")})
     for d in range(1, hops + 1):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def success_rate(runs: DataFrame, keys: Sequence[str], ok: Column, digits: int = 1) -> DataFrame:
     """Runs and the percentage that went well."""
-    return runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.round(100.0 * F.avg(ok.cast("double")), digits).alias("rate"))
+    return runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.bround(100.0 * F.avg(ok.cast("double")), digits).alias("rate"))
 
 
 def delays(runs: DataFrame, late: str, threshold: Column, critical: float = 60) -> DataFrame:
@@ -57,7 +57,7 @@ def load_stats(loads: DataFrame, key: str, day: str, value: str, drop: float = 0
 def click_rate(events: DataFrame, keys: Sequence[str], kind: str, click: str = "click", view: str = "view") -> DataFrame:
     """Clicks, views and clicks per hundred views; null without views."""
     n = events.groupBy(*keys).agg(F.count_if(F.col(kind) == click).alias("clicks"), F.count_if(F.col(kind) == view).alias("views"))
-    return n.withColumn("ctr", F.round(100.0 * F.col("clicks") / F.nullif(F.col("views"), F.lit(0)), 3))
+    return n.withColumn("ctr", F.bround(100.0 * F.col("clicks") / F.nullif(F.col("views"), F.lit(0)), 3))
 
 
 def funnel(events: DataFrame, keys: Sequence[str], kind: str, steps: Sequence[str]) -> DataFrame:

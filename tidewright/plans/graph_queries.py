@@ -19,7 +19,7 @@ SELECT 'customer:' || o_custkey, 'builds', 'priority:' || o_orderpriority, 'sale
 d AS (SELECT src, rel, dst, min(source) AS source FROM e GROUP BY ALL),
 f AS (SELECT a, b, max(label) AS label FROM (
   SELECT src AS a, dst AS b, rel AS label FROM d WHERE rel IN ('writes', 'builds', 'swaps') UNION ALL
-  SELECT dst, src, CASE rel WHEN 'reads' THEN 'read by' WHEN 'alias_of' THEN 'exposed as' ELSE 'required by' END FROM d WHERE rel IN ('reads', 'alias_of', 'depends_on')) GROUP BY ALL)"""
+  SELECT dst, src, CASE rel WHEN 'reads' THEN 'read by' WHEN 'alias_of' THEN 'served as' ELSE 'triggers' END FROM d WHERE rel IN ('reads', 'alias_of', 'depends_on')) GROUP BY ALL)"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

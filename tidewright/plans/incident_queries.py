@@ -83,17 +83,39 @@ def map_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", *(F.array_join(f"d.{c}", ",").alias(c) for c in ("added", "removed", "changed")))
 
 
-HEALTH = [("orders-v3", "2024-01-10 00:00:00", 700, "green", {"id": "long", "name": "text"}), ("orders-v2", "2024-01-09 00:00:00", 1000, "green", {"id": "long", "name": "keyword", "old": "text"}), ("items-1", "2024-01-01 00:00:00", 50, "yellow", {"id": "long"}), ("parts-1", "2024-01-09 20:00:00", 10, "green", {"id": "long"})]
-FAMILIES = [("orders", "orders-v*", "orders", 48), ("items", "items-?", "items", 48), ("parts", "parts-*", "parts", 48)]
-ALIASES, BUILDERS = [("orders", "orders-v2"), ("items", "items-1"), ("parts", "parts-1")], [("orders", "success", False), ("items", "failed", True), ("parts", "success", False)]
-
-
-@registry.add("SELECT * FROM (VALUES ('orders', 'crit', 3::BIGINT), ('items', 'crit', 4), ('parts', 'ok', 0)) v(family, level, n_checks)")
+NOW, DROP = "2024-02-01 12:00:00", 0.2
+
+
+@registry.add(f"""WITH v AS (SELECT s_nationkey AS family, s_suppkey, 's-' || s_nationkey || '-' || s_suppkey AS index, TIMESTAMP '2024-01-01' + to_hours(CAST(s_suppkey % 744 AS INTEGER)) AS created, CAST(s_acctbal AS BIGINT) AS docs,
+    CASE s_suppkey % 11 WHEN 0 THEN 'red' WHEN 1 THEN 'yellow' ELSE 'green' END AS health FROM supplier),
+n AS (SELECT family, max_by(index, (created, index)) AS newest, max_by(docs, (created, index)) AS n_docs FROM v GROUP BY 1),
+c AS (SELECT v.* FROM v JOIN (SELECT family, min(s_suppkey) AS k FROM v GROUP BY 1) m ON v.family = m.family AND v.s_suppkey = m.k WHERE v.family % 5 <> 0),
+f AS (SELECT n_nationkey AS family, CASE n_nationkey % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'success' ELSE 'running' END AS builder, n_nationkey % 4 = 0 AS paused, CASE WHEN n_nationkey % 7 = 0 THEN 'failed' ELSE 'success' END AS swapper FROM nation),
+x AS (
+  SELECT family, health = 'red' AS crit FROM v WHERE health <> 'green'
+  UNION ALL SELECT f.family, true FROM f LEFT JOIN c USING (family) WHERE c.family IS NULL
+  UNION ALL SELECT family, true FROM c WHERE date_diff('second', created, TIMESTAMP '{NOW}') / 3600.0 > 500
+  UNION ALL SELECT family, false FROM c JOIN n USING (family) WHERE newest <> index
+  UNION ALL SELECT family, true FROM c JOIN n USING (family) WHERE newest <> index AND docs > 0 AND 1 - n_docs::DOUBLE / docs > {DROP}
+  UNION ALL SELECT family, builder = 'failed' FROM f WHERE builder <> 'success'
+  UNION ALL SELECT family, false FROM f WHERE paused
+  UNION ALL SELECT family, true FROM f WHERE swapper = 'failed')
+SELECT 'n' || f.family AS family, CASE WHEN bool_or(crit) THEN 'crit' WHEN count(crit) > 0 THEN 'warn' ELSE 'ok' END AS level, count(crit) AS n_checks FROM f LEFT JOIN x USING (family) GROUP BY f.family""")
 def index_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level of each family in a small cluster of literal rows."""
-    ix = spark.createDataFrame(HEALTH, "index string, created string, docs long, health string, mapping map<string,string>").withColumn("created", F.to_timestamp("created"))
-    fam = spark.createDataFrame(FAMILIES, "family string, pattern string, alias string, max_age_hours int")
-    found = health.check_families(ix, fam, spark.createDataFrame(ALIASES, "alias string, index string"), spark.createDataFrame(BUILDERS, "family string, builder_state string, paused boolean"), F.to_timestamp(F.lit("2024-01-10 12:00:00")))
+    """Level of each nation's family of indices, one index per supplier; the alias is at the
+    supplier with the least key, where the nation has an alias."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    name = F.concat(F.lit("s-"), "s_nationkey", F.lit("-"), "s_suppkey")
+    state = F.when(F.col("s_suppkey") % 11 == 0, "red").when(F.col("s_suppkey") % 11 == 1, "yellow").otherwise("green")
+    created = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("s_suppkey") % 744).cast("int"))
+    ix = s.select(name.alias("index"), created.alias("created"), F.col("s_acctbal").cast("decimal(20,0)").cast("long").alias("docs"), state.alias("health"), F.create_map().cast("map<string,string>").alias("mapping"))
+    own = F.concat(F.lit("n"), "n_nationkey").alias("family")
+    fam = n.select(own, F.concat(F.lit("s-"), "n_nationkey", F.lit("-*")).alias("pattern"), F.concat(F.lit("a"), "n_nationkey").alias("alias"), F.lit(500).alias("max_age_hours"))
+    least = s.where("s_nationkey % 5 <> 0").groupBy("s_nationkey").agg(F.min_by(name, "s_suppkey").alias("index")).select(F.concat(F.lit("a"), "s_nationkey").alias("alias"), "index")
+    run = F.element_at(F.array(F.lit("failed"), F.lit("success"), F.lit("running")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    builders = n.select(own, run.alias("builder_state"), (F.col("n_nationkey") % 4 == 0).alias("paused"))
+    swappers = n.select(own, F.when(F.col("n_nationkey") % 7 == 0, "failed").otherwise("success").alias("swapper_state"))
+    found = health.check_families(ix, fam, least, builders, F.lit(NOW).cast("timestamp_ntz"), DROP, swappers)
     return health.family_levels(fam, found)
 
 
