@@ -110,3 +110,55 @@ def test_query_equals_brute_force(spark, sf):
         least[groups[f]] = min(d, least.get(groups[f], d))
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op9_simhash_near_duplicates(spark, sf).collect()}
     assert got == {d: (f"{f:016x}", least[groups[f]]) for d, f in fps.items()}
+
+
+def test_similar_texts_by_brute_force(spark):
+    """Five-word shingles at 0.8: kept rows against all pairs, on altered copies and odd texts."""
+    import random
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([30, 120, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(4)):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(999)}"
+            texts.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
+    texts += [None, "", "  ", "two words", "two words", "w1 " * 20_000]
+    rng.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        k = min(5, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    group = list(range(len(texts)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    near = []
+    for i in range(len(sets)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if sets[i] == sets[j] or both >= 0.8 * either:
+                a, b = sorted((top(i), top(j)))
+                group[b] = a
+            near.append(both / either if either else 1.0)
+    want = {i for i in range(len(texts)) if top(i) == i}
+    df = with_clashes(docs(spark, texts))
+    got = simhash.first_of_similar(df, recall=0.99)
+    assert got.columns == df.columns
+    kept = {r["doc_id"] for r in got.collect()}
+    assert want <= kept and len(kept - want) <= 1
+    assert simhash.first_of_similar(df.limit(0)).count() == 0
+
+
+def test_crowded_files_are_divided(spark):
+    """More copies than a file compares still end as one."""
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 300, 2)]
+    assert simhash.first_of_similar(docs(spark, texts)).count() == 1
