@@ -149,7 +149,7 @@ def test_evaluation(spark):
 
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
-    assert one(tx.ident_tokens(F.lit("see mart.daily-sales, a_b and x"))) == ["mart_daily_sales", "a_b", "mart", "daily", "sales", "a", "b"]
+    assert one(tx.ident_tokens(F.lit("see mart.daily-sales, a_b and x"))) == ["see", "see", "mart_daily_sales", "mart", "daily", "sales", "a_b", "a", "b", "and", "and", "x", "x"]
     assert one(tx.bigrams(F.lit("가나다 라 ab"), "[가-힣]")) == ["가나", "나다", "라"]
     assert one(tx.plain(F.lit("---\na: b\n---\n# T\n[x](y) `c` | d"))) == "T x c d"
     assert [tuple(s) for s in one(tx.sections(F.lit("intro\n## A\nbody\n## B\n")))] == [("", "intro\n"), ("A", "## A\nbody\n"), ("B", "## B\n")]
@@ -185,3 +185,24 @@ def test_health_and_questions(spark):
     assert (d["added"], d["removed"], d["changed"]) == (["c"], ["a"], ["b"])
     q = spark.createDataFrame([("who owns it",), ("a b c d e",), ("daily_sales",), (None,)], "q string")
     assert [r["n"] for r in q.select(asking.looks_natural("q").alias("n")).collect()] == [True, True, False, False]
+
+
+def test_pairs_by_key_gives_every_pair_once_for_hot_keys(spark):
+    uses = [(m, "hot") for m in range(90)] + [(m, f"k{m % 7}") for m in range(40)] + [(3, "hot"), (None, "hot"), (5, None)]
+    got = graph.pairs_by_key(spark.createDataFrame(uses, "m long, k string").where("m IS NOT NULL"), "m", "k", block=8).collect()
+    members: dict = {}
+    for m, k in uses:
+        if m is not None and k is not None:
+            members.setdefault(k, set()).add(m)
+    want = sorted((k, a, b) for k, ms in members.items() for a in ms for b in ms if a < b)
+    assert sorted((r.k, r.a, r.b) for r in got) == want
+    empty = spark.createDataFrame([], "m long, k string")
+    assert graph.shared_asset_links(empty, "m", "k").collect() == []
+
+
+def test_promoted_puts_an_exact_title_first_that_is_no_hit(spark):
+    docs = spark.createDataFrame([(1, "Alpha", "en"), (2, "beta", "en"), (3, "alpha", "de"), (4, None, "en")], "id long, title string, lang string")
+    hits = spark.createDataFrame([(7, 2, 1), (7, 3, 2), (7, 4, 3)], "qid long, id long, rank int")
+    asked = spark.createDataFrame([(7, "ALPHA")], "qid long, query string")
+    got = sorted(map(tuple, search.promoted(hits, docs, asked, 5, {"lang": "en"}).collect()), key=lambda r: r[2])
+    assert got == [(7, 1, 1, True), (7, 2, 2, False), (7, 4, 3, False)]

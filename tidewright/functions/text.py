@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Identifiers and words (fixed patterns).
-IDENT, WORD = r"[A-Za-z][A-Za-z0-9]*(?:[._-][A-Za-z0-9]+)+", r"[\p{L}\p{N}_]+"
+IDENT, WORD = r"[A-Za-z0-9][A-Za-z0-9_.\-]*", r"[\p{L}\p{N}_]+"
 #: A number and its unit.
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 
@@ -21,11 +21,11 @@ def tokens(text: str | Column, pattern: str = r"[a-z0-9_]+") -> Column:
 
 
 def ident_tokens(text: str | Column) -> Column:
-    """Identifiers whole, with . and - as _, and their parts, lower-cased and distinct."""
-    found = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(IDENT), F.lit(0))
-    whole = F.transform(found, lambda x: F.lower(F.regexp_replace(x, "[.-]", "_")))
-    parts = F.flatten(F.transform(found, lambda x: F.split(F.lower(x), "[._-]")))
-    return F.array_distinct(F.concat(whole, F.filter(parts, lambda p: p != "")))
+    """Identifiers in the lower-cased text, each whole, with . and - as _, and then its parts;
+    a word of one part counts twice, and repeats stay, so that terms can be counted."""
+    found = tokens(text, IDENT)
+    pieces = lambda x: F.filter(F.split(x, "[._-]"), lambda p: p != "")
+    return F.flatten(F.transform(found, lambda x: F.concat(F.array(F.regexp_replace(x, "[.-]", "_")), pieces(x))))
 
 
 def bigrams(text: str | Column, letters: str) -> Column:

@@ -86,8 +86,20 @@ def related(edges: DataFrame, rel: str, by: str = "dst") -> DataFrame:
     return edges.where(F.col("rel") == rel).groupBy(F.col(by).alias("id")).agg(F.array_sort(F.collect_set(other)).alias("ids"))
 
 
+def pairs_by_key(uses: DataFrame, who: str, key: str, block: int = 256) -> DataFrame:
+    """(k, a, b), a < b: those that share a key, once a key.
+
+    The members of a key are dealt into blocks of about `block`, and two blocks at a time are
+    joined, so that the pairs of a hot key come from many tasks."""
+    x = uses.select(F.col(who).alias("m"), F.col(key).alias("k")).distinct()
+    parts = x.groupBy("k").agg(F.ceil(F.count("*") / block).alias("parts"), F.count("*").alias("n")).where("n > 1")
+    x = x.join(parts.select("k", "parts"), "k").withColumn("block", F.pmod(F.xxhash64("m"), F.col("parts")))
+    left = x.select("k", F.col("m").alias("x"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("parts") - 1)).alias("j"))
+    right = x.select("k", F.col("m").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"))
+    pairs = left.join(right, ["k", "i", "j"]).where("i < j OR x < y")
+    return pairs.select("k", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
+
+
 def shared_asset_links(uses: DataFrame, who: str, asset: str) -> DataFrame:
     """(a, b, n_shared): pairs that use the same asset, a < b, with how many they share."""
-    x = uses.select(F.col(who).alias("a"), F.col(asset).alias("k")).distinct()
-    y = x.withColumnRenamed("a", "b")
-    return x.join(y, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    return pairs_by_key(uses.where(F.col(who).isNotNull()), who, asset).groupBy("a", "b").agg(F.count("*").alias("n_shared"))

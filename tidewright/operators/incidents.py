@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import NUMBER
+from tidewright.operators.graph import pairs_by_key
 
 #: Commands, and references to incidents and runbooks (fixed patterns).
 COMMAND, REFERENCE = r"(?m)^\s*(?:\$|kubectl|airflow|spark-submit|curl|hdfs|hive)\b[^\n]*", r"\b(?:INC|RB)-[0-9A-Z]+\b"
@@ -81,9 +82,10 @@ def merge_timeline(parts: Sequence[DataFrame], incident: str, at: str) -> DataFr
 
 def similar(incidents: DataFrame, incident: str, entities: str, least: int = 2, refs: DataFrame | None = None) -> DataFrame:
     """(a, b, n_shared, referenced), a < b: incidents that share `least` entities or name one
-    another. An equi-join on entities, never a comparison of all pairs."""
-    e = incidents.select(F.col(incident).alias("a"), F.explode(F.array_distinct(entities)).alias("e"))
-    shared = e.join(e.withColumnRenamed("a", "b"), "e").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= least).withColumn("referenced", F.lit(False))
+    another. Only incidents with an entity in common are compared; an entity of very many is
+    spread over tasks."""
+    e = incidents.where(F.col(incident).isNotNull()).select(F.col(incident).alias("a"), F.explode(F.array_distinct(entities)).alias("e"))
+    shared = pairs_by_key(e, "a", "e").groupBy("a", "b").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= least).withColumn("referenced", F.lit(False))
     if refs is not None:
         named = refs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct().select("a", "b", F.lit(0).cast("long").alias("n_shared"), F.lit(True).alias("referenced"))
         shared = shared.unionByName(named).groupBy("a", "b").agg(F.max("n_shared").alias("n_shared"), F.bool_or("referenced").alias("referenced"))

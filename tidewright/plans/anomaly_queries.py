@@ -75,7 +75,7 @@ def behavior_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FINDINGS_SQL = """
 WITH v AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders GROUP BY ALL), vm AS (SELECT *, median(v) OVER (PARTITION BY o_orderpriority) AS m FROM v),
-vf AS (SELECT 'volume_drop' AS rule, CASE WHEN v < 0.02 * m THEN 'crit' ELSE 'warn' END AS severity, day, day::TIMESTAMP AS "at", ['priority:' || o_orderpriority] AS entities, 'volume ' || o_orderpriority AS summary FROM vm WHERE m > 0 AND v < 0.04 * m),
+vf AS (SELECT 'volume_drop' AS rule, 'crit' AS severity, day, day::TIMESTAMP AS "at", ['priority:' || o_orderpriority] AS entities, 'volume ' || o_orderpriority AS summary FROM vm WHERE m > 0 AND v < 0.5 * m),
 l AS (SELECT l_orderkey, l_suppkey, max(datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS lag, max(CAST(l_shipdate AS DATE)) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
 lf AS (SELECT 'sla_delay' AS rule, CASE WHEN lag >= 2400 THEN 'crit' ELSE 'warn' END AS severity, day, day::TIMESTAMP AS "at", ['order:' || l_orderkey, 'supplier:' || l_suppkey] AS entities, 'late order ' || l_orderkey AS summary FROM l WHERE lag > 2350),
 f AS (SELECT rule, severity, day, "at", entities, summary, row_number() OVER (ORDER BY day, rule, array_to_string(entities, ','))::BIGINT AS fid FROM (SELECT * FROM vf UNION ALL SELECT * FROM lf))"""
@@ -85,9 +85,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume drops and late orders as findings, numbered by day, rule and entities."""
     o = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
     v = o.groupBy("o_orderpriority", "day").agg(F.sum("o_totalprice").alias("v"))
-    drops = anomaly.volume_drop(v, ["o_orderpriority"], "v", 0.04)
-    severity = F.when(F.col("v") < 0.02 * F.col("median_v"), "crit").otherwise("warn")
-    drops = anomaly.finding(drops, "volume_drop", severity, F.col("day"), F.col("day"), [F.concat(F.lit("priority:"), "o_orderpriority")], F.concat(F.lit("volume "), "o_orderpriority"), v=F.round("v", 2))
+    drops = anomaly.volume_drop(v, ["o_orderpriority"], "v", 0.5)
+    drops = anomaly.finding(drops, "volume_drop", F.lit("crit"), F.col("day"), F.col("day"), [F.concat(F.lit("priority:"), "o_orderpriority")], F.concat(F.lit("volume "), "o_orderpriority"), v=F.round("v", 2))
     li = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("day").alias("ordered")), "l_orderkey")
     ship = F.to_date("l_shipdate")
     late = li.groupBy("l_orderkey", "l_suppkey").agg(F.max(F.datediff(ship, "ordered")).alias("lag"), F.max(ship).alias("day")).where("lag > 2350")

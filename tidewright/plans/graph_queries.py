@@ -75,18 +75,18 @@ def subgraph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.subgraph_lines(graph.flow(edges(spark, sf_dir)), spark.createDataFrame([("nation:3",)], "id string"))
 
 
-@registry.add("""WITH u AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS k FROM lineitem WHERE l_quantity >= 49)
+@registry.add("""WITH u AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS k FROM lineitem)
 SELECT x.a, y.a AS b, count(*) AS n_shared FROM u x JOIN u y ON x.k = y.k AND x.a < y.a GROUP BY ALL""")
 def shared_asset_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of large quantities that share parts."""
-    return graph.shared_asset_links(table(spark, sf_dir, "lineitem").where("l_quantity >= 49"), "l_suppkey", "l_partkey")
+    """Suppliers that share parts."""
+    return graph.shared_asset_links(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
 
 
-@registry.add("""WITH u AS (SELECT DISTINCT o_custkey AS a, l_partkey AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 45)
+@registry.add("""WITH u AS (SELECT DISTINCT o_custkey AS a, l_partkey AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT x.a, y.a AS b, count(*) AS n_shared FROM u x JOIN u y ON x.k = y.k AND x.a < y.a GROUP BY ALL HAVING count(*) >= 2""")
 def similar_overlap2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that share two or more parts of large quantities."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_partkey")
+    """Customers that share two or more parts."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     uses = table(spark, sf_dir, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey"))
     return graph.shared_asset_links(uses, "o_custkey", "l_partkey").where("n_shared >= 2")
 

@@ -94,11 +94,11 @@ def asof_unblocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.before_blocked(versions(spark, sf_dir), blocked, "o_custkey", "o_orderstatus", ["version"]).select("o_custkey", "o_orderkey", "version")
 
 
-@registry.add(f"WITH {VERSIONS_SQL} SELECT o_custkey, version + 1 AS version, CASE WHEN version > 1 THEN prev_content END AS o_totalprice, version = 1 AS deleted FROM v WHERE is_last AND o_custkey % 3 = 0")
+@registry.add(f"WITH {VERSIONS_SQL} SELECT o_custkey, version + 1 AS version, CASE WHEN version > 1 THEN prev_content END AS o_totalprice, version = 1 AS deleted FROM v WHERE is_last")
 def undo_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that undo the last version of a third of the customers."""
+    """The rows that undo the last version of each customer."""
     v = versions(spark, sf_dir)
-    return history.undo(v, v.where("o_custkey % 3 = 0"), "o_custkey", "o_totalprice").select("o_custkey", "version", "o_totalprice", "deleted")
+    return history.undo(v, v, "o_custkey", "o_totalprice").select("o_custkey", "version", "o_totalprice", "deleted")
 
 
 @registry.add(f"WITH {VERSIONS_SQL} SELECT o_orderkey, o_custkey, version, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY version) AS restores, is_last FROM v")

@@ -60,14 +60,15 @@ def intent_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", asking.intent("text", INTENTS).alias("intent"), asking.looks_natural("text").alias("looks_natural"))
 
 
-@registry.add("""WITH i AS (SELECT l_orderkey AS k, list(DISTINCT l_partkey) AS e FROM lineitem WHERE l_quantity >= 48 GROUP BY 1), x AS (SELECT k, unnest(e) AS e FROM i),
+@registry.add("""WITH i AS (SELECT l_orderkey AS k, list(DISTINCT l_partkey) AS e FROM lineitem GROUP BY 1), x AS (SELECT k, unnest(e) AS e FROM i),
 s AS (SELECT a.k AS a, b.k AS b, count(*) AS n_shared FROM x a JOIN x b ON a.e = b.e AND a.k < b.k GROUP BY ALL HAVING count(*) >= 2),
-r AS (SELECT k AS a, k + 1 AS b FROM i WHERE k % 40 = 0 AND k + 1 IN (SELECT k FROM i))
+r AS (SELECT k AS a, k + 1 AS b FROM i WHERE k + 1 IN (SELECT k FROM i))
 SELECT a, b, max(n) AS n_shared, bool_or(ref) AS referenced FROM (SELECT a, b, n_shared AS n, false AS ref FROM s UNION ALL SELECT a, b, 0, true FROM r) GROUP BY ALL""")
 def similar_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as incidents that share two parts, or of which one names the other."""
-    i = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("e"))
-    named = i.where("k % 40 = 0").select(F.col("k").alias("src"), (F.col("k") + 1).alias("dst")).join(i.select(F.col("k").alias("dst")), "dst", "left_semi")
+    """Orders as incidents that share two parts, or of which one names the other: each names the
+    order after it."""
+    i = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("e"))
+    named = i.select(F.col("k").alias("src"), (F.col("k") + 1).alias("dst")).join(i.select(F.col("k").alias("dst")), "dst", "left_semi")
     return incidents.similar(i, "k", "e", 2, named)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
@@ -35,8 +35,8 @@ def tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_max("t").alias("last"))
 
 
-@registry.add(r"""WITH i AS (SELECT page_id, regexp_extract_all(url, '[A-Za-z][A-Za-z0-9]*(?:[._-][A-Za-z0-9]+)+') AS f FROM pages),
-u AS (SELECT page_id, lower(regexp_replace(x, '[.-]', '_', 'g')) AS t FROM (SELECT page_id, unnest(f) AS x FROM i) UNION SELECT page_id, unnest(list_filter(regexp_split_to_array(lower(x), '[._-]'), lambda p: p <> '')) FROM (SELECT page_id, unnest(f) AS x FROM i))
+@registry.add(r"""WITH i AS (SELECT page_id, unnest(regexp_extract_all(lower(url), '[A-Za-z0-9][A-Za-z0-9_.\-]*')) AS x FROM pages),
+u AS (SELECT page_id, regexp_replace(x, '[.-]', '_', 'g') AS t FROM i UNION ALL SELECT page_id, unnest(list_filter(regexp_split_to_array(x, '[._-]'), lambda p: p <> '')) FROM i)
 SELECT page_id, string_agg(t, ' ' ORDER BY t) AS idents FROM u GROUP BY 1""")
 def tokenize_idents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers in page URLs, whole and in parts."""
@@ -69,10 +69,10 @@ b AS (SELECT qid, id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1
 k AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 100)"""
 
 
-def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _keyword(spark: SparkSession, sf_dir: str, allowed: Column | None = None) -> DataFrame:
     t = lambda c: tx.tokens(c, r"[\p{L}0-9_]+")
     terms = questions(spark).select("qid", F.explode(t("query")).alias("term"))
-    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", {"title": (t("source"), 3.0), "body": (t("text"), 1.0)}, terms, 100)
+    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", {"title": (t("source"), 3.0), "body": (t("text"), 1.0)}, terms, 100, allowed=allowed)
 
 
 @registry.add(f"WITH {BM25_SQL} SELECT qid, id, score, rank FROM k WHERE rank <= 10")
@@ -90,8 +90,8 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VEC_SQL = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9 AS n, label FROM embeddings),
-vp AS (SELECT a.id AS qid, b.id, round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS score FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id),
-vk AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vp) WHERE rank <= 10)"""
+vp AS (SELECT a.id AS qid, b.id, list_dot_product(a.e, b.e) / (a.n * b.n) AS s FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id),
+vk AS (SELECT * FROM (SELECT qid, id, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM vp) WHERE rank <= 10)"""
 
 
 def _vectors(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
@@ -120,15 +120,16 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FUSED_SQL = f"""{BM25_SQL}, l AS (SELECT qid, id, rank FROM k UNION ALL SELECT qid, id, rank FROM (SELECT qid, doc_id AS id, row_number() OVER (PARTITION BY qid ORDER BY n_chars DESC, doc_id) AS rank FROM q, documents WHERE lang = 'en') WHERE rank <= 50),
-fu AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS best FROM l GROUP BY ALL), fr AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best, id) AS rank FROM fu)"""
+fu AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(rank) AS best FROM l GROUP BY ALL), fr AS (SELECT qid, id, round(s, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, best, id) AS rank FROM fu)"""
+ENGLISH_SQL = FUSED_SQL.replace("FROM b) WHERE rank <= 100", "FROM b JOIN documents ON doc_id = id WHERE lang = 'en') WHERE rank <= 100")
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fused(spark: SparkSession, sf_dir: str, allowed: Column | None = None) -> DataFrame:
     """Keyword hits fused with a list of the longest English documents (a stand-in for a vector
     list)."""
     longest = table(spark, sf_dir, "documents").where("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(50).select(F.col("doc_id").alias("id"), "n_chars")
     second = search.top(longest.join(F.broadcast(questions(spark).select("qid")), F.lit(True)), ["qid"], [F.desc("n_chars"), F.asc("id")], 50).select("qid", "id", "rank")
-    return search.fuse(_keyword(spark, sf_dir).select("qid", "id", "rank").unionByName(second))
+    return search.fuse(_keyword(spark, sf_dir, allowed).select("qid", "id", "rank").unionByName(second))
 
 
 @registry.add(f"WITH {FUSED_SQL} SELECT qid, id, score, rank FROM fr WHERE rank <= 10")
@@ -137,13 +138,16 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).where("rank <= 10")
 
 
-@registry.add(f"""WITH {FUSED_SQL}, m AS (SELECT fr.qid, fr.id, fr.rank AS was, lower(source) = lower(CASE WHEN qid = 1 THEN 'src4' ELSE query END) OR id::VARCHAR = lower(query) AS exact FROM fr JOIN documents ON doc_id = id JOIN q USING (qid) WHERE lang = 'en')
-SELECT qid, id, rank, exact FROM (SELECT qid, id, exact, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, was, id) AS rank FROM m) WHERE rank <= 8""")
+@registry.add(f"""WITH {ENGLISH_SQL}, a AS (SELECT qid, CASE WHEN qid = 1 THEN 'src4' ELSE lower(query) END AS name FROM q),
+e AS (SELECT DISTINCT qid, doc_id AS id FROM documents, a WHERE lang = 'en' AND (lower(source) = name OR doc_id::VARCHAR = name)),
+h AS (SELECT fr.qid, fr.id, fr.rank FROM fr JOIN documents ON doc_id = id WHERE lang = 'en'),
+m AS (SELECT coalesce(h.qid, e.qid) AS qid, coalesce(h.id, e.id) AS id, h.rank AS was, e.id IS NOT NULL AS exact FROM h FULL JOIN e ON h.qid = e.qid AND h.id = e.id)
+SELECT qid, id, rank, exact FROM (SELECT qid, id, exact, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, was NULLS LAST, id) AS rank FROM m) WHERE rank <= 8""")
 def exact_promoted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused hits in English only, exact titles first: a report of the top."""
+    """Fused hits of a search in English documents, exact titles first: a report of the top."""
     asked = questions(spark).withColumn("query", F.when(F.col("qid") == 1, "src4").otherwise(F.col("query")))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "lang")
-    return search.promoted(_fused(spark, sf_dir), docs, asked, 8, {"lang": "en", "title": None})
+    return search.promoted(_fused(spark, sf_dir, F.col("lang") == "en"), docs, asked, 8, {"lang": "en", "title": None})
 
 
 @registry.add("""WITH s AS (SELECT doc_id, text, coalesce(nullif(instr(lower(text), 'license'), 0), nullif(instr(lower(text), 'li'), 0), 1) AS p FROM documents), t AS (SELECT *, greatest(1, p - 60) AS st FROM s)
