@@ -206,3 +206,18 @@ def test_promoted_puts_an_exact_title_first_that_is_no_hit(spark):
     asked = spark.createDataFrame([(7, "ALPHA")], "qid long, query string")
     got = sorted(map(tuple, search.promoted(hits, docs, asked, 5, {"lang": "en"}).collect()), key=lambda r: r[2])
     assert got == [(7, 1, 1, True), (7, 2, 2, False), (7, 4, 3, False)]
+
+
+def test_read_off_takes_quoted_commands_references_and_amounts(spark):
+    rows = [("A", "ran `airflow dags list` and `ls`, see INC-12, RB-HDFS-3 and SOP-ETL-1"), ("A", "80 % full, 3.5GB left after 20 tries, INC-12")]
+    got = incidents.read_off(spark.createDataFrame(rows, "i string, t string"), "i", "t").first()
+    assert got["commands"] == ["airflow dags list"] and got["refs"] == ["INC-12", "RB-HDFS-3", "SOP-ETL-1"] and got["numbers"] == ["3.5GB", "80 %"]
+
+
+def test_snippet_leaves_markup_out_and_starts_before_the_longest_word(spark):
+    text = "## Head\n```\ncode needle\n```\n!!! note\n" + "x" * 50 + " the **needle** " + "y" * 100
+    plain = "Head note".replace(" note", "") + " " + "x" * 50 + " the needle " + "y" * 100
+    at = plain.index("needle") - 30
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, t string")
+    got = {r[0]: r[1] for r in rows.select("id", tx.snippet("t", "a needle in")).collect()}
+    assert got == {1: "…" + plain[at : at + 90] + "…", 2: None, 3: ""}

@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 IDENT, WORD = r"[A-Za-z0-9][A-Za-z0-9_.\-]*", r"[\p{L}\p{N}_]+"
 #: A number and its unit.
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+#: What a snippet leaves out, with what stands in its place (fixed patterns).
+MARKUP = [
+    (r"```[\s\S]*?```", " "),
+    (r"(?m)^(?:!!!|\?\?\?) *\w+ *", ""),
+    (r"<!--.*?-->|[#>*`|!\[\]\"]|\(/e/[^)]*\)|-{3,}", " "),
+    (r"\s+", " "),
+]
 
 
 def col(c: str | Column) -> Column:
@@ -57,16 +64,22 @@ def sections(text: str | Column) -> Column:
     return F.filter(named, lambda s: F.btrim(s["body"], F.lit(" \n\t\r")) != "")
 
 
-def snippet(text: str | Column, term: str | Column, width: int = 60) -> Column:
-    """Up to width characters on either side of a term's first place (of its first two
-    characters, if it has none; else the start), with ellipses where text is cut."""
-    t, q = col(text), F.lower(F.lit(term) if isinstance(term, str) else term)
-    low = F.lower(t)
-    at = F.coalesce(F.nullif(F.locate(term.lower(), low) if isinstance(term, str) else F.call_function("locate", q, low), F.lit(0)), F.nullif(F.call_function("locate", F.substring(q, 1, 2), low), F.lit(0)), F.lit(1))
-    start = F.greatest(F.lit(1), at - width)
-    size = at - start + F.char_length(q) + width
-    body = F.substring(t, start, size)
-    return F.concat(F.when(start > 1, "…").otherwise(""), body, F.when(start + size - 1 < F.char_length(t), "…").otherwise(""))
+def snippet(text: str | Column, query: str, width: int = 90) -> Column:
+    """`width` characters of the text without markup, from a third of that before the first place
+    of the query's longest word (or of its first two characters; else of the next word; the start
+    if none is there), with ellipses where text is cut. Words of one character don't count."""
+    plain = col(text)
+    for pattern, by in MARKUP:
+        plain = F.regexp_replace(plain, pattern, by)
+    words = sorted({w for w in query.lower().split() if len(w) >= 2}, key=lambda w: (-len(w), w))
+
+    def cut(t: Column) -> Column:
+        place = [F.nullif(F.locate(piece, F.lower(t)), F.lit(0)) for w in words for piece in (w, w[:2])]
+        start = F.greatest(F.lit(1), F.coalesce(*place, F.lit(1)) - width // 3)
+        rest = F.when(start + width - 1 < F.char_length(t), "…").otherwise("")
+        return F.concat(F.when(start > 1, "…").otherwise(""), F.substring(t, start, F.lit(width)), rest)
+
+    return F.transform(F.array(F.btrim(plain)), cut)[0]
 
 
 def highlight(text: str | Column, terms: list[str]) -> Column:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tidewright.functions.text import NUMBER
 from tidewright.operators.graph import pairs_by_key
 
-#: Commands, and references to incidents and runbooks (fixed patterns).
-COMMAND, REFERENCE = r"(?m)^\s*(?:\$|kubectl|airflow|spark-submit|curl|hdfs|hive)\b[^\n]*", r"\b(?:INC|RB)-[0-9A-Z]+\b"
+#: Commands in back quotes, references to incidents and runbooks, numbers with their unit
+#: (fixed patterns, but that ids of runbooks may lack their letters: RB-7).
+COMMAND, REFERENCE = r"`([^`]{6,})`", r"INC-\d+|(?:RB|SOP)-(?:[A-Z]+-)?\d+"
+AMOUNT = r"(\d+(?:\.\d+)?)\s*(%|GB|시간|분|억|만|h)"
 #: A line of a chat export.
 CHAT = r"(?m)^\[([0-9]{2}:[0-9]{2})\] ([^:\n]+): ([^\n]*)"
 
@@ -30,9 +32,10 @@ def chat_lines(bundles: DataFrame, incident: str, text: str) -> DataFrame:
 
 
 def read_off(evidence: DataFrame, incident: str, text: str) -> DataFrame:
-    """Per incident: commands, references and numbers in its evidence; distinct and sorted."""
-    found = lambda p: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))))))
-    return evidence.groupBy(incident).agg(found(COMMAND).alias("commands"), found(REFERENCE).alias("refs"), found(NUMBER).alias("numbers"))
+    """Per incident: commands, references and numbers with a unit in its evidence; distinct and
+    sorted."""
+    found = lambda p, group=0: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(group))))))
+    return evidence.groupBy(incident).agg(found(COMMAND, 1).alias("commands"), found(REFERENCE).alias("refs"), found(AMOUNT).alias("numbers"))
 
 
 def acknowledged(turns: DataFrame, incident: str, at: str, detected: Column, answered: Column) -> DataFrame:

@@ -150,11 +150,16 @@ def exact_promoted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.promoted(_fused(spark, sf_dir, F.col("lang") == "en"), docs, asked, 8, {"lang": "en", "title": None})
 
 
-@registry.add("""WITH s AS (SELECT doc_id, text, coalesce(nullif(instr(lower(text), 'license'), 0), nullif(instr(lower(text), 'li'), 0), 1) AS p FROM documents), t AS (SELECT *, greatest(1, p - 60) AS st FROM s)
-SELECT doc_id, CASE WHEN st > 1 THEN '…' ELSE '' END || substr(text, st, p - st + 67) || CASE WHEN st + p - st + 67 - 1 < length(text) THEN '…' ELSE '' END AS snippet FROM t""")
+PLAIN_SQL = "text"
+for _pattern, _by in tx.MARKUP:
+    PLAIN_SQL = f"regexp_replace({PLAIN_SQL}, '{_pattern}', '{_by}', 'g')"
+
+
+@registry.add(f"""WITH c AS (SELECT doc_id, trim({PLAIN_SQL}) AS t FROM documents), p AS (SELECT *, coalesce(nullif(instr(lower(t), 'license'), 0), nullif(instr(lower(t), 'li'), 0), nullif(instr(lower(t), 'mit'), 0), nullif(instr(lower(t), 'mi'), 0), 1) AS p FROM c), s AS (SELECT *, greatest(1, p - 30) AS st FROM p)
+SELECT doc_id, CASE WHEN st > 1 THEN '…' ELSE '' END || substr(t, st, 90) || CASE WHEN st + 89 < length(t) THEN '…' ELSE '' END AS snippet FROM s""")
 def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The surroundings of a term in each text."""
-    return table(spark, sf_dir, "documents").select("doc_id", tx.snippet("text", "license").alias("snippet"))
+    """The surroundings of a question's words in each text."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.snippet("text", "MIT license").alias("snippet"))
 
 
 @registry.add("""WITH n AS (SELECT * FROM (VALUES ('licence:mit', 'MIT License'), ('licence:apache', 'Apache License'), ('licence:gpl', 'GNU General Public License'), ('word:idiot', 'idiot'), ('word:scum', 'scum'), ('word:ung', 'ung'), ('word:token', 'token')) v(entity, name))

@@ -297,6 +297,8 @@ def convert(name: str | None, text: str | None) -> dict:
     if n.endswith((".md", ".markdown")):
         head = re.search(r"(?m)^#\s+(.+)$", t)
         return {"markdown": t, "title": head[1].strip() if head else None, "stats": {"heading": len(re.findall(r"(?m)^#+\s", t))}, "warnings": []}
+    if n.endswith(".txt"):
+        return from_text(t)
     if n.endswith(".xml") or "<ac:" in t or "<ri:" in t:
         return from_confluence(t)
     if n.endswith((".html", ".htm")) or re.match(r"(?is)\s*(?:<!doctype html|<html|<body|<h1|<p)\b", t):
