@@ -109,3 +109,12 @@ def test_streams(spark, tmp_path, sf):
         s = rollup.event_stream(spark, f"{p}/items", items.schema, files_per_trigger=1)
         rollup.run_batches(s, rollup.capture_versions(f"{p}/store", ["key"]), f"{p}/c2")
     assert spark.read.parquet(f"{p}/store").count() == items.distinct().count()
+
+
+def test_table_names_are_lower_cased_and_lose_their_catalogue():
+    assert scripts.sql_tables("INSERT INTO Cat.DB.Out SELECT * FROM Raw.Orders JOIN raw.orders") == (["raw.orders"], ["db.out"])
+    assert scripts.table_definitions("CREATE TABLE `Cat`.`Mart`.Daily (a INT)")[0]["name"] == "mart.daily"
+
+
+def test_text_files_are_text_whatever_they_look_like():
+    assert "<p>" in convert.convert("notes.TXT", "<p>kept</p>")["markdown"]
