@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
@@ -38,6 +39,16 @@ SLICE = 100_000
 WIDE_SLICE = 2_048
 #: Largest file of sets that share a block whose members are all compared.
 FILE = 64
+#: Largest file whose members are compared without asking first what links them already.
+CROWD = 16
+#: Most places of texts (three numbers each) that are sent to every executor.
+SENT = 250_000
+#: Times the members of larger files are compared with the leads of their files before.
+TURNS = 2
+#: Longs of a fingerprint that go with a member of a file, and standard deviations that they may
+#: lie beyond the limit before a pair is not looked at.
+HEADS = 7
+MARGIN = 3.5
 #: Times a larger file is divided by further bits.
 LEVELS = 6
 #: Standard deviations of a fingerprint's distance within which shingles decide.
@@ -213,45 +224,66 @@ def _wide(rows: DataFrame, text: str, out: str, width: int, seed: int, bits: int
     return rows.withColumn(out, hashed(F.col(text).cast("string")))
 
 
-def similar_links(values: DataFrame, texts: DataFrame, similarity: float, bits: int, blocks: int, width: int, seed: int, direct: int = FILE) -> DataFrame:
+def similar_links(values: DataFrame, texts: tuple[DataFrame, DataFrame], similarity: float, bits: int, blocks: int, width: int, seed: int, direct: int = FILE) -> DataFrame:
     """Links (a, b) between shingle sets that share a block and are similar enough.
 
-    values: one row per set, (same, n, fp); texts: (same, text), one row per set at least. Files
-    of up to `direct` sets compare all of them. In larger ones each set is first compared with
-    the least set of any of its files; what that links is one member of a file from then on.
-    Files still larger are divided by further bits, chosen file by file, until they are small; in
-    such crowds of sets that share blocks without likeness a pair at the limit is found less
-    often than elsewhere. What LEVELS divisions leave, sets whose bits agree, is linked to the
-    least of its file. Texts are read once, for doubtful pairs."""
+    values: one row per set, (same, n, fp); texts: (doc_id, text), and where a
+    text of each set is, (same, _id, _mark), _mark the text's hash. In files
+    of more than CROWD sets each set is first compared with the lead of each of its files, by
+    fingerprint and where that leaves doubt by shingles, so that a large group of near copies is
+    linked by about as many pairs as it has files; that is done TURNS times, with other leads.
+    Files of up to `direct` sets then compare all members that nothing has linked so far: no group
+    is lost by it. In larger files what is linked is one member from then on, and those still
+    larger are divided by further bits, chosen file by file, until they are small; in such crowds
+    of sets that share blocks without likeness a pair at the limit is found less often than
+    elsewhere. What LEVELS divisions leave, sets whose bits agree, is linked to the least of its
+    file. Texts are read once for all doubtful pairs, and once a turn for those of crowds; only
+    where more than SENT of them are asked for are they shuffled."""
     p, total = _differs(similarity), bits * blocks
+    # the first blocks, as many to a long as it holds, go with each member of a file
     peek = 63 // bits
-    most_peek = p * peek * bits + 4.5 * math.sqrt(peek * bits * p * (1 - p))
-    head = F.lit(0).cast("long")
-    for i in range(peek):
-        head = head + F.col("fp")[i].cast("long") * (1 << (bits * i))
+    heads = [f"h{k}" for k in range(min(HEADS, blocks // peek))]
+    packed = [reduce(Column.__add__, (F.col("fp")[k * peek + i].cast("long") * (1 << (bits * i)) for i in range(peek))).alias(h) for k, h in enumerate(heads)]
+
+    def most(n: int) -> float:
+        return p * n * peek * bits + MARGIN * math.sqrt(n * peek * bits * p * (1 - p))
+
     keys = F.transform("fp", lambda x, i: i.cast("long") * (1 << 31) + x)
-    filed = values.where("n > 0").select(F.explode(keys).alias("key"), F.struct("same", "n", head.alias("head")).alias("m"))
-    shared = cut(filed.groupBy("key").agg(F.count("*").alias("members"), F.min("m").alias("rep")).where("members > 1"))
-    pending = cut(filed.join(shared, "key"))
+    filed = values.where("n > 0").select("same", F.explode(keys).alias("key"))
+    shared = cut(filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    member = F.struct("same", "n", *heads, F.col("same").alias("label")).alias("m")
+    pending = cut(filed.join(shared, "key").join(values.select("same", "n", *packed), "same").select("key", "members", member))
 
     def may_be(a: Column, b: Column) -> Column:
         size = (a["n"] >= similarity * 0.95 * b["n"]) & (b["n"] >= similarity * 0.95 * a["n"])
-        return size & (F.bit_count(a["head"].bitwiseXOR(b["head"])) <= most_peek)
+        apart = [F.bit_count(a[h].bitwiseXOR(b[h])) for h in heads]
+        return size & (apart[0] <= most(1)) & (reduce(Column.__add__, apart) <= most(len(heads)))
 
     def judged(pairs: DataFrame) -> DataFrame:
         return _distances(cut(pairs.distinct()), values, similarity, p, total)
 
-    crowded = pending.where(F.col("members") > direct)
-    nearest = crowded.where((F.col("m.same") != F.col("rep.same")) & may_be(F.col("rep"), F.col("m"))).groupBy(F.col("m.same").alias("b")).agg(F.min("rep.same").alias("a"))
-    found = [judged(nearest.select("a", "b"))]
-    joined = cut(connected_components(found[0].where("sure"), "a", "b"))
-    pending = pending.select("key", "m").join(joined.select(F.col("node").alias("_node"), "component"), F.col("m.same") == F.col("_node"), "left")
-    pending = cut(pending.groupBy("key", F.coalesce("component", "m.same").alias("_set")).agg(F.min("m").alias("m")).select("key", "m"))
+    links, found, labels = [], [], None
+    for turn in range(TURNS if shared.where(F.col("members") > CROWD).limit(1).count() else 0):
+        lead = pending.where(F.col("members") > CROWD).groupBy("key").agg(F.min_by("m", F.xxhash64("m.same", F.lit(turn))).alias("lead"))
+        stars = pending.where(F.col("members") > CROWD).join(lead, "key").where((F.col("m.same") != F.col("lead.same")) & may_be(F.col("lead"), F.col("m")))
+        stars = stars.select(F.least("lead.same", "m.same").alias("a"), F.greatest("lead.same", "m.same").alias("b")).distinct()
+        if labels is not None:
+            label = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"label_{x}"))
+            stars = stars.join(label("a"), "a", "left").join(label("b"), "b", "left").where("NOT coalesce(label_a = label_b, false)").select("a", "b")
+        links.append(cut(_settled(judged(stars), texts, similarity, width, seed)))
+        labels = cut(connected_components(_all(links), "a", "b"))
+    if labels is not None:
+        pending = pending.join(labels.select(F.col("node").alias("_node"), "component"), F.col("m.same") == F.col("_node"), "left")
+        pending = pending.select("key", "members", F.col("m").withField("label", F.coalesce("component", "m.label")).alias("m"))
+        one = F.when(F.col("members") > direct, F.col("m.label")).otherwise(F.col("m.same"))
+        pending = cut(pending.groupBy("key", one.alias("_one")).agg(F.min_by("m", F.xxhash64("key", "m.same")).alias("m")).select("key", "m"))
+    else:
+        pending = pending.select("key", "m")
     for level in range(LEVELS + 1):
         sizes = pending.groupBy("key").agg(F.count("*").alias("members"), F.min("m").alias("rep")).where("members > 1")
         pending = cut(pending.join(sizes, "key"))
         small = pending.where(F.col("members") <= direct).groupBy("key").agg(F.collect_list("m").alias("ms"))
-        near = lambda a: F.transform(F.filter("ms", lambda b: (b["same"] > a["same"]) & may_be(a, b)), lambda b: F.struct(a["same"].alias("a"), b["same"].alias("b")))
+        near = lambda a: F.transform(F.filter("ms", lambda b: (b["same"] > a["same"]) & (b["label"] != a["label"]) & may_be(a, b)), lambda b: F.struct(a["same"].alias("a"), b["same"].alias("b")))
         found.append(judged(small.select(F.explode(F.flatten(F.transform("ms", near))).alias("p")).select("p.a", "p.b")))
         crowded = pending.where(F.col("members") > direct)
         if not crowded.limit(1).count():
@@ -262,12 +294,14 @@ def similar_links(values: DataFrame, texts: DataFrame, similarity: float, bits:
         # as many more bits as should leave half of `direct`; which ones differs from file to file
         more = F.least(F.lit(16), F.ceil(F.log2(F.col("members") / direct)).cast("int") + 1)
         at = F.pmod(F.xxhash64("key", F.lit(level)), (peek * bits - more).cast("long")).cast("int")
-        piece = F.call_function("shiftright", F.col("m.head"), at).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), more) - 1)
+        piece = F.call_function("shiftright", F.col("m.h0"), at).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), more) - 1)
         pending = crowded.select(F.xxhash64("key", F.lit(level), piece).alias("key"), "m")
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return _settled(links, texts, similarity, width, seed)
+    return _all([*links, _settled(_all(found), texts, similarity, width, seed)])
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    """The rows of all frames."""
+    return reduce(DataFrame.unionByName, frames)
 
 
 def _distances(pairs: DataFrame, values: DataFrame, similarity: float, p: float, total: int) -> DataFrame:
@@ -284,19 +318,23 @@ def _distances(pairs: DataFrame, values: DataFrame, similarity: float, p: float,
     return cut(both.select("a", "b", over.alias("over")).where(F.col("over") <= spread).select("a", "b", (F.col("over") < -spread).alias("sure")))
 
 
-def _settled(pairs: DataFrame, texts: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
+def _settled(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], similarity: float, width: int, seed: int) -> DataFrame:
     """The sure pairs, and of the others those whose shingle sets are similar."""
     pairs = cut(pairs.groupBy("a", "b").agg(F.bool_or("sure").alias("sure")))
     clear, doubt = pairs.where("sure").select("a", "b"), pairs.where("NOT sure").select("a", "b")
-    named = cut(doubt.select(F.col("a").alias("same")).unionByName(doubt.select(F.col("b").alias("same"))).distinct())
-    own = texts.join(named, "same").dropDuplicates(["same"])
+    named = doubt.select(F.col("a").alias("same")).unionByName(doubt.select(F.col("b").alias("same"))).distinct()
+    docs, at = texts
+    named = cut(at.join(named, "same"))
+    if named.count() <= SENT:
+        named = F.broadcast(named)
+    own = docs.join(named, docs["doc_id"].eqNullSafe(named["_id"]) & (F.xxhash64(docs["text"]) == named["_mark"]))
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([shingle_set(t.as_py(), width, seed).view("<i8").tolist() for t in batch], pa.list_(pa.int64()))
 
-    own = cut(own.select("same", hashed(F.col("text").cast("string")).alias("s")))
+    own = cut(own.select("same", hashed(F.col("text").cast("string")).alias("s")).dropDuplicates(["same"]))
     seen = doubt.join(own.select(F.col("same").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("same").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     seen = seen.withColumn("both", common).where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")))
@@ -321,9 +359,7 @@ def first_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     values = cut(rows.groupBy("same").agg(F.min(order).alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp")))
     at = values.select("same", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
-    # joined where doubtful pairs need it, once
-    texts = plain.join(at, plain["doc_id"].eqNullSafe(at["_id"]) & (F.xxhash64(plain["text"]) == at["_mark"])).select("same", "text")
-    links = similar_links(values.select("same", "n", "fp"), texts, similarity, bits, blocks, width, seed)
+    links = similar_links(values.select("same", "n", "fp"), (plain, at), similarity, bits, blocks, width, seed)
     groups = cut(connected_components(links, "a", "b"))
     values = values.select("same", "first").join(groups.withColumnRenamed("node", "same"), "same", "left").withColumn("component", F.coalesce("component", "same"))
     return _firsts(docs, doc_id, text, rows, values)
