@@ -6,12 +6,15 @@ import functools
 import importlib
 import inspect
 import sys
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import ensure_checkpoint_dir
+
 #: ASCII white space that separates words: 0x20 and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -82,3 +85,14 @@ def shielded(columns: Sequence[str], outs: Sequence[str] = ()) -> Callable:
         return run
 
     return wrap
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder, which goes when the application ends:
+    its lineage ends, an executor that is lost later costs no recomputation, and Spark can
+    split what is read from it. A frame is computed once, where a checkpoint computes it twice."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, with their SQL."""
+"""The training-data operators as queries over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
@@ -218,9 +218,47 @@ FROM p LEFT JOIN k ON p.rnk = k.rnk AND p.start = k.start AND p.size > 0
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, each opened by turns of the first one of its hundred."""
+    from tidewright.llm.prefix_trie import numbered_turns, trie, with_openings
+
+    turns = numbered_turns(table(spark, sf_dir, "conversations"))
+    c = F.col("conv")
+    return trie(*with_openings(turns, c - c % 100, F.crc32(c.cast("string")) % 6, 5))
+
+
+#: CRC-32 is not a function of DuckDB: it is reduced byte by byte, bit by bit.
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), left(coalesce(text, ''), 64)) AS p,
+         struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(k ORDER BY p) AS l FROM t GROUP BY c),
+h AS (
+  SELECT c, l, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+         lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, 3988292384 * (a & 1))))) % 6 AS h
+  FROM o),
+b AS (SELECT h.c, list_concat(coalesce(o.l[1:h.h], []), h.l[h.h + 1:]) AS l FROM h LEFT JOIN o ON o.c = h.c - h.c % 100),
+p AS (SELECT c, len(l) AS n, unnest(range(0, len(l) + 1)) AS d, l FROM b),
+m AS (SELECT c, n, d, l[1:d] AS pre FROM p),
+nodes AS (
+  SELECT d, pre, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM m GROUP BY d, pre),
+kids AS (SELECT d - 1 AS d, pre[1:d - 1] AS pre, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+base AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN nodes.d = 0 THEN 0 ELSE (n_convs - 1) * length(nodes.pre[nodes.d].t) END AS saves
+  FROM nodes LEFT JOIN kids USING (d, pre)),
+up AS (SELECT n_children, saves, pre[1:a] AS pre, a AS d FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM base)),
+sums AS (SELECT d, pre, CAST(sum(saves) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY d, pre)
+SELECT b.conv_id, CAST(b.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, b.n_convs, b.n_children, n_leaves, saved_tokens, b.ends_sha256
+FROM base b JOIN sums USING (d, pre) LEFT JOIN nodes q ON b.d > 0 AND q.d = b.d - 1 AND q.pre = b.pre[1:b.d - 1]
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_license_scan, op4_quality_rules, op5_quality_classifier, op6_toxicity, op7_line_dedup, op8_html_extraction, op9_simhash_near_duplicates, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_license_scan, op4_quality_rules, op5_quality_classifier, op6_toxicity, op7_line_dedup, op8_html_extraction, op9_simhash_near_duplicates, op10_mix_sources, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op3_license_scan": op3_sql(), "op4_quality_rules": op4_sql(), "op10_mix_sources": OP10_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_license_scan": op3_sql(), "op4_quality_rules": op4_sql(), "op10_mix_sources": OP10_SQL, "op13_prefix_trie": OP13_SQL}
