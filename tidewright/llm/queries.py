@@ -218,6 +218,25 @@ FROM p LEFT JOIN k ON p.rnk = k.rnk AND p.start = k.start AND p.size > 0
 """
 
 
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors for each hundredth one, by integer inner product."""
+    from tidewright.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
+
+
+OP12_SQL = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of all conversations, each opened by turns of the first one of its hundred."""
     from tidewright.llm.prefix_trie import numbered_turns, trie, with_openings
@@ -257,8 +276,8 @@ FROM base b JOIN sums USING (d, pre) LEFT JOIN nodes q ON b.d > 0 AND q.d = b.d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_license_scan, op4_quality_rules, op5_quality_classifier, op6_toxicity, op7_line_dedup, op8_html_extraction, op9_simhash_near_duplicates, op10_mix_sources, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_license_scan, op4_quality_rules, op5_quality_classifier, op6_toxicity, op7_line_dedup, op8_html_extraction, op9_simhash_near_duplicates, op10_mix_sources, op12_top_k, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op3_license_scan": op3_sql(), "op4_quality_rules": op4_sql(), "op10_mix_sources": OP10_SQL, "op13_prefix_trie": OP13_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_license_scan": op3_sql(), "op4_quality_rules": op4_sql(), "op10_mix_sources": OP10_SQL, "op12_top_k": OP12_SQL, "op13_prefix_trie": OP13_SQL}
