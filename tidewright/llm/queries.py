@@ -218,6 +218,40 @@ FROM p LEFT JOIN k ON p.rnk = k.rnk AND p.start = k.start AND p.size > 0
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best phrases of 2 to 5 words in all documents."""
+    from tidewright.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, range(1, 6) s(size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE size > 1 AND f >= 100),
+i AS (
+  SELECT DISTINCT lang, phrase, a FROM (
+    SELECT lang, array_to_string(w[x:x + s - 1], ' ') AS phrase, a FROM (
+      SELECT lang, w, a, s, unnest(range(1, size - s + 2)) AS x FROM c, range(2, 5) r(s) WHERE s < size))),
+k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a)),
+u AS (SELECT *, unnest(range(1, size)) AS cut FROM k),
+s AS (
+  SELECT u.lang, u.phrase, u.a, cut, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * u.a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM u JOIN t ON t.lang = u.lang
+  JOIN f l ON l.lang = u.lang AND l.size = cut AND l.phrase = array_to_string(w[1:cut], ' ')
+  JOIN f r ON r.lang = u.lang AND r.size = u.size - cut AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b QUALIFY rank <= 2000
+"""
+
+
 def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best vectors for each hundredth one, by integer inner product."""
     from tidewright.llm.topk import top_k
@@ -276,8 +310,8 @@ FROM base b JOIN sums USING (d, pre) LEFT JOIN nodes q ON b.d > 0 AND q.d = b.d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_license_scan, op4_quality_rules, op5_quality_classifier, op6_toxicity, op7_line_dedup, op8_html_extraction, op9_simhash_near_duplicates, op10_mix_sources, op12_top_k, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_license_scan, op4_quality_rules, op5_quality_classifier, op6_toxicity, op7_line_dedup, op8_html_extraction, op9_simhash_near_duplicates, op10_mix_sources, op11_collocations, op12_top_k, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op3_license_scan": op3_sql(), "op4_quality_rules": op4_sql(), "op10_mix_sources": OP10_SQL, "op12_top_k": OP12_SQL, "op13_prefix_trie": OP13_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_license_scan": op3_sql(), "op4_quality_rules": op4_sql(), "op10_mix_sources": OP10_SQL, "op11_collocations": OP11_SQL, "op12_top_k": OP12_SQL, "op13_prefix_trie": OP13_SQL}
