@@ -150,7 +150,7 @@ def test_similar_texts_by_brute_force(spark):
             near.append(both / either if either else 1.0)
     want = {i for i in range(len(texts)) if top(i) == i}
     df = with_clashes(docs(spark, texts))
-    got = simhash.first_of_similar(df, recall=0.99)
+    got = simhash.first_of_similar(df)
     assert got.columns == df.columns
     kept = {r["doc_id"] for r in got.collect()}
     assert want <= kept and len(kept - want) <= 1
@@ -158,7 +158,75 @@ def test_similar_texts_by_brute_force(spark):
 
 
 def test_crowded_files_are_divided(spark):
-    """More copies than a file compares still end as one."""
+    """More copies than a cell holds still end as one."""
     base = [f"w{k}" for k in range(300)]
     texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 300, 2)]
     assert simhash.first_of_similar(docs(spark, texts)).count() == 1
+
+
+def links_of(spark, texts, recall=0.9, cell=simhash.CELL):
+    """Links that the operator finds, as pairs of places in texts (which all differ)."""
+    import numpy as np
+    import xxhash
+
+    bits, blocks = simhash.plan_blocks(len(texts), 0.8, recall)
+    sets = [simhash.shingle_set(t, 5, 42) for t in texts]
+    name = [int.from_bytes(xxhash.xxh64_digest(s.astype("<u8").tobytes(), 42), "little", signed=True) for s in sets]
+    rows = [(m, len(s), simhash.wide_fingerprint(s, bits, blocks)) for m, s in zip(name, sets, strict=True)]
+    values = spark.createDataFrame(rows, "same long, n int, fp array<int>").persist()
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at = spark.createDataFrame([(m, i) for i, m in enumerate(name)], "same long, _id long").join(plain.selectExpr("doc_id AS _id", "xxhash64(text) AS _mark"), "_id")
+    place = {m: i for i, m in enumerate(name)}
+    links = simhash.similar_links(values, (plain, at), 0.8, bits, blocks, 5, 42, cell=cell).collect()
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    values.unpersist()
+    return [(place[r["a"]], place[r["b"]]) for r in links], alike
+
+
+def crowd(rng, base, copies, changes, words):
+    for _ in range(copies):
+        w = list(base)
+        for at in rng.sample(range(len(w)), changes):
+            w[at] = f"y{rng.randrange(words)}"
+        yield " ".join(w)
+
+
+def grouped(n, links):
+    group = list(range(n))
+
+    def top(i):
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    for i, j in links:
+        group[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(n)]
+
+
+def test_crowd_of_copies_that_are_near_one_text_only(spark):
+    """600 copies that are similar to their base and not to one another, among unlike texts."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = [*crowd(rng, base, 300, 7, 10**6), " ".join(base), *crowd(rng, base, 300, 7, 10**6)]
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(30, 300))) for _ in range(3000)]
+    links, alike = links_of(spark, texts)
+    assert all(alike(i, j) for i, j in links)
+    want = [i for i in range(601) if i != 300 and alike(i, 300)]
+    group = grouped(len(texts), links)
+    assert len(want) > 590 and sum(group[i] == group[300] for i in want) >= 0.9 * len(want)
+
+
+def test_links_in_crowds_of_several_bases(spark):
+    """Every pair that is similar ends in one group for at least 0.9 of pairs, none that is not,
+    where files are cut into many cells."""
+    rng = random.Random(12)
+    first = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    bases = [first, *(t.split() for t in crowd(rng, first, 5, 11, 10**6))]
+    texts = list(dict.fromkeys(t for b in bases for t in [" ".join(b), *crowd(rng, b, 40, 4, 10**6)]))
+    links, alike = links_of(spark, texts, cell=16)
+    assert all(alike(i, j) for i, j in links)
+    group = grouped(len(texts), links)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike(i, j)]
+    assert len(pairs) > 200 and sum(group[i] == group[j] for i, j in pairs) >= 0.9 * len(pairs)

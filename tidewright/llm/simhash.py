@@ -9,23 +9,23 @@ can't hold more than 65 different fingerprints, links all of its members.
 
 For a stated similarity of shingle sets a wide fingerprint is used: its bits differ with a known
 probability, so block length and number follow from the corpus and the recall that is wanted.
-Pairs that share a block are verified by the Hamming distance of the whole fingerprints, and by
-their shingles where that is too near the limit to tell.
+Pairs that share a block are held against the Hamming distance of the whole fingerprints, and what
+that does not rule out is verified shingle by shingle.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from tidewright.llm.common import shielded, travels
+from tidewright.llm.common import shielded, travels, written
 from tidewright.operators.components import connected_components
 from tidewright.session import cut
 
@@ -37,22 +37,14 @@ DIRECT = 16
 SLICE = 100_000
 #: Shingles of a text whose wide bits are summed at a time, and words the sum mixes per shingle.
 WIDE_SLICE = 2_048
-#: Largest file of sets that share a block whose members are all compared.
-FILE = 64
-#: Largest file whose members are compared without asking first what links them already.
-CROWD = 16
+#: Members of a file that are compared with one another, or with as many others, in one cell.
+CELL = 512
+#: Groups that the rows of a frequent file or set are dealt to.
+SALTS = 32
 #: Most places of texts (three numbers each) that are sent to every executor.
 SENT = 250_000
-#: Times the members of larger files are compared with the leads of their files before.
-TURNS = 2
-#: Longs of a fingerprint that go with a member of a file, and standard deviations that they may
-#: lie beyond the limit before a pair is not looked at.
-HEADS = 7
-MARGIN = 3.5
-#: Times a larger file is divided by further bits.
-LEVELS = 6
-#: Standard deviations of a fingerprint's distance within which shingles decide.
-DOUBT = 3.0
+#: Standard deviations beyond the limit from which fingerprints alone rule a pair out.
+MARGIN = 3.0
 
 travels(__name__)
 
@@ -224,107 +216,146 @@ def _wide(rows: DataFrame, text: str, out: str, width: int, seed: int, bits: int
     return rows.withColumn(out, hashed(F.col(text).cast("string")))
 
 
-def similar_links(values: DataFrame, texts: tuple[DataFrame, DataFrame], similarity: float, bits: int, blocks: int, width: int, seed: int, direct: int = FILE) -> DataFrame:
-    """Links (a, b) between shingle sets that share a block and are similar enough.
-
-    values: one row per set, (same, n, fp); texts: (doc_id, text), and where a
-    text of each set is, (same, _id, _mark), _mark the text's hash. In files
-    of more than CROWD sets each set is first compared with the lead of each of its files, by
-    fingerprint and where that leaves doubt by shingles, so that a large group of near copies is
-    linked by about as many pairs as it has files; that is done TURNS times, with other leads.
-    Files of up to `direct` sets then compare all members that nothing has linked so far: no group
-    is lost by it. In larger files what is linked is one member from then on, and those still
-    larger are divided by further bits, chosen file by file, until they are small; in such crowds
-    of sets that share blocks without likeness a pair at the limit is found less often than
-    elsewhere. What LEVELS divisions leave, sets whose bits agree, is linked to the least of its
-    file. Texts are read once for all doubtful pairs, and once a turn for those of crowds; only
-    where more than SENT of them are asked for are they shuffled."""
-    p, total = _differs(similarity), bits * blocks
-    # the first blocks, as many to a long as it holds, go with each member of a file
-    peek = 63 // bits
-    heads = [f"h{k}" for k in range(min(HEADS, blocks // peek))]
-    packed = [reduce(Column.__add__, (F.col("fp")[k * peek + i].cast("long") * (1 << (bits * i)) for i in range(peek))).alias(h) for k, h in enumerate(heads)]
-
-    def most(n: int) -> float:
-        return p * n * peek * bits + MARGIN * math.sqrt(n * peek * bits * p * (1 - p))
+def _salted(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with a salt, so that a key's rows are dealt to SALTS groups."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
 
+
+def _beside(rows: DataFrame, key: str, other: str, table: DataFrame) -> DataFrame:
+    """rows joined to a table of one row per `key`; a frequent key's rows are dealt out by `other`,
+    and the table's row goes once to each of these groups."""
+    salted = _salted(rows, other)
+    asked = salted.select(key, "salt").distinct().join(table, key)
+    return salted.join(asked, [key, "salt"]).drop("salt")
+
+
+def similar_links(values: DataFrame, texts: tuple[DataFrame, DataFrame], similarity: float, bits: int, blocks: int, width: int, seed: int, cell: int = CELL) -> DataFrame:
+    """Links (a, b) between shingle sets that share a block and are similar enough, as many as it
+    takes to connect what such links connect.
+
+    values: one row per set, (same, n, fp); texts: (doc_id, text), and where a text of each set
+    is, (same, _id, _mark), _mark the text's hash. The members of a block's file are first
+    compared with its lead, the one that shares blocks with most other sets: in a crowd of copies
+    that is the text they were made from. Then members that nothing has linked so far are all
+    compared, whatever the size of their file: it is cut into cells of bounded size. A pair is dropped by
+    fingerprints only where they lie MARGIN standard deviations beyond the limit; all others
+    are compared shingle by shingle, and only that makes a link."""
     keys = F.transform("fp", lambda x, i: i.cast("long") * (1 << 31) + x)
-    filed = values.where("n > 0").select("same", F.explode(keys).alias("key"))
-    shared = cut(filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
-    member = F.struct("same", "n", *heads, F.col("same").alias("label")).alias("m")
-    pending = cut(filed.join(shared, "key").join(values.select("same", "n", *packed), "same").select("key", "members", member))
-
-    def may_be(a: Column, b: Column) -> Column:
-        size = (a["n"] >= similarity * 0.95 * b["n"]) & (b["n"] >= similarity * 0.95 * a["n"])
-        apart = [F.bit_count(a[h].bitwiseXOR(b[h])) for h in heads]
-        return size & (apart[0] <= most(1)) & (reduce(Column.__add__, apart) <= most(len(heads)))
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        return _distances(cut(pairs.distinct()), values, similarity, p, total)
-
-    links, found, labels = [], [], None
-    for turn in range(TURNS if shared.where(F.col("members") > CROWD).limit(1).count() else 0):
-        lead = pending.where(F.col("members") > CROWD).groupBy("key").agg(F.min_by("m", F.xxhash64("m.same", F.lit(turn))).alias("lead"))
-        stars = pending.where(F.col("members") > CROWD).join(lead, "key").where((F.col("m.same") != F.col("lead.same")) & may_be(F.col("lead"), F.col("m")))
-        stars = stars.select(F.least("lead.same", "m.same").alias("a"), F.greatest("lead.same", "m.same").alias("b")).distinct()
-        if labels is not None:
-            label = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"label_{x}"))
-            stars = stars.join(label("a"), "a", "left").join(label("b"), "b", "left").where("NOT coalesce(label_a = label_b, false)").select("a", "b")
-        links.append(cut(_settled(judged(stars), texts, similarity, width, seed)))
-        labels = cut(connected_components(_all(links), "a", "b"))
-    if labels is not None:
-        pending = pending.join(labels.select(F.col("node").alias("_node"), "component"), F.col("m.same") == F.col("_node"), "left")
-        pending = pending.select("key", "members", F.col("m").withField("label", F.coalesce("component", "m.label")).alias("m"))
-        one = F.when(F.col("members") > direct, F.col("m.label")).otherwise(F.col("m.same"))
-        pending = cut(pending.groupBy("key", one.alias("_one")).agg(F.min_by("m", F.xxhash64("key", "m.same")).alias("m")).select("key", "m"))
-    else:
-        pending = pending.select("key", "m")
-    for level in range(LEVELS + 1):
-        sizes = pending.groupBy("key").agg(F.count("*").alias("members"), F.min("m").alias("rep")).where("members > 1")
-        pending = cut(pending.join(sizes, "key"))
-        small = pending.where(F.col("members") <= direct).groupBy("key").agg(F.collect_list("m").alias("ms"))
-        near = lambda a: F.transform(F.filter("ms", lambda b: (b["same"] > a["same"]) & (b["label"] != a["label"]) & may_be(a, b)), lambda b: F.struct(a["same"].alias("a"), b["same"].alias("b")))
-        found.append(judged(small.select(F.explode(F.flatten(F.transform("ms", near))).alias("p")).select("p.a", "p.b")))
-        crowded = pending.where(F.col("members") > direct)
-        if not crowded.limit(1).count():
-            break
-        if level == LEVELS:
-            found.append(judged(crowded.where((F.col("m.same") != F.col("rep.same")) & may_be(F.col("rep"), F.col("m"))).select(F.col("rep.same").alias("a"), F.col("m.same").alias("b"))))
-            break
-        # as many more bits as should leave half of `direct`; which ones differs from file to file
-        more = F.least(F.lit(16), F.ceil(F.log2(F.col("members") / direct)).cast("int") + 1)
-        at = F.pmod(F.xxhash64("key", F.lit(level)), (peek * bits - more).cast("long")).cast("int")
-        piece = F.call_function("shiftright", F.col("m.h0"), at).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), more) - 1)
-        pending = crowded.select(F.xxhash64("key", F.lit(level), piece).alias("key"), "m")
-    return _all([*links, _settled(_all(found), texts, similarity, width, seed)])
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    """The rows of all frames."""
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _distances(pairs: DataFrame, values: DataFrame, similarity: float, p: float, total: int) -> DataFrame:
-    """Pairs (a, b) whose fingerprints allow for the similarity, with `sure` where they lie more
-    than DOUBT standard deviations inside of the limit."""
+    filed = _salted(values.where("n > 0").select("same", F.explode(keys).alias("key")), "same")
+    sizes = filed.groupBy("key", "salt").agg(F.count("*").alias("members"))
+    sizes = sizes.withColumn("members", F.sum("members").over(Window.partitionBy("key"))).where("members > 1")
+    filed = written(filed.join(sizes, ["key", "salt"]))
+    known = filed.groupBy("same").agg(F.sum("members").alias("known"))
+    heads = filed.join(known, "same").groupBy("key", "salt").agg(F.max(F.struct("known", "same")).alias("lead"))
+    heads = heads.select("key", "salt", F.max("lead").over(Window.partitionBy("key"))["same"].alias("lead"))
+    stars = filed.join(heads, ["key", "salt"]).where("same <> lead").select(F.col("lead").alias("a"), F.col("same").alias("b")).distinct()
+    limits = _Limits(similarity, bits * blocks)
+    first = written(_verified(_near(stars, values, limits), texts, similarity, width, seed))
+
+    groups = written(connected_components(first, "a", "b")).withColumnRenamed("node", "same")
+    rest = filed.where("members > 2").join(groups, "same", "left").withColumn("label", F.coalesce("component", "same")).select("key", "salt", "same", "label", "members")
+    ends = rest.groupBy("key", "salt").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    over = Window.partitionBy("key")
+    ends = ends.select("key", "salt", F.min("low").over(over).alias("low"), F.max("high").over(over).alias("high")).where("low < high")
+    rest = rest.join(ends, ["key", "salt"]).select("key", "same", "label", "members")
+    # a file's members are dealt to parts, and each pair of parts is a cell
+    parts = F.ceil(F.col("members") / cell)
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("same"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rest = rest.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), (F.col("part") == F.col("other")).alias("own"), "part", "same", "label")
+    rest = rest.join(values, "same").select("cell", "own", "part", "same", "label", "n", "fp")
+    pairs = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(limits), "a long, b long").distinct()
+    second = written(_verified(pairs, texts, similarity, width, seed))
+    return first.unionByName(second)
+
+
+class _Limits:
+    """How far fingerprints of `total` bits may lie apart for a similarity of sets."""
+
+    def __init__(self, similarity: float, total: int) -> None:
+        self.similarity, self.total = similarity, total
+        p = _differs(similarity)
+        self.margin = MARGIN * math.sqrt(total * p * (1 - p))
+
+    def column(self, n_a: Column, n_b: Column, apart: Column) -> Column:
+        """Whether two sets of these sizes may be similar."""
+        a, b = n_a.cast("double"), n_b.cast("double")
+        cosine = F.least(F.lit(1.0), self.similarity / (1 + self.similarity) * (a + b) / F.sqrt(a * b))
+        return (F.least(a, b) >= self.similarity * F.greatest(a, b)) & (apart <= F.acos(cosine) / math.pi * self.total + self.margin)
+
+    def numpy(self, n: int, others, apart):
+        """The same for a set of n shingles and many others."""
+        import numpy as np
+
+        cosine = np.minimum(1.0, self.similarity / (1 + self.similarity) * (n + others) / np.sqrt(float(n) * others))
+        return (np.minimum(n, others) >= self.similarity * np.maximum(n, others)) & (apart <= np.arccos(cosine) / math.pi * self.total + self.margin)
+
+
+def _near(pairs: DataFrame, values: DataFrame, limits: _Limits) -> DataFrame:
+    """Pairs (a, b) whose fingerprints allow for the similarity."""
     side = lambda x: values.select(F.col("same").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}"))
-    distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", distance.alias("d"))
-    # of sets of other sizes, this much similarity takes this angle
-    n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    cosine = F.least(F.lit(1.0), similarity / (1 + similarity) * (n_a + n_b) / F.sqrt(n_a * n_b))
-    spread = DOUBT * math.sqrt(total * p * (1 - p))
-    over = F.col("d") - F.acos(cosine) / math.pi * total
-    return cut(both.select("a", "b", over.alias("over")).where(F.col("over") <= spread).select("a", "b", (F.col("over") < -spread).alias("sure")))
-
-
-def _settled(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], similarity: float, width: int, seed: int) -> DataFrame:
-    """The sure pairs, and of the others those whose shingle sets are similar."""
-    pairs = cut(pairs.groupBy("a", "b").agg(F.bool_or("sure").alias("sure")))
-    clear, doubt = pairs.where("sure").select("a", "b"), pairs.where("NOT sure").select("a", "b")
-    named = doubt.select(F.col("a").alias("same")).unionByName(doubt.select(F.col("b").alias("same"))).distinct()
+    both = _beside(pairs.join(side("b"), "b"), "a", "b", side("a"))
+    apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(limits.column(F.col("n_a"), F.col("n_b"), apart)).select("a", "b")
+
+
+def _cells(limits: _Limits):
+    """Pairs (a, b) of different labels in rows (cell, own, part, same, label, n, fp), sorted by
+    cell, whose fingerprints allow for the similarity; a cell of two parts pairs one with the other."""
+
+    def compared(cell: dict) -> tuple[list, list]:
+        import numpy as np
+
+        left, right = [], []
+        for i in range(len(cell["same"]) - 1):
+            rest = slice(i + 1, None)
+            apart = np.bitwise_count(cell["fp"][rest] ^ cell["fp"][i]).sum(axis=1, dtype=np.int32)
+            ok = limits.numpy(cell["n"][i], cell["n"][rest], apart) & (cell["label"][rest] != cell["label"][i])
+            if not cell["own"][i]:
+                ok &= cell["part"][rest] != cell["part"][i]
+            found = np.flatnonzero(ok) + i + 1
+            left += np.minimum(cell["same"][found], cell["same"][i]).tolist()
+            right += np.maximum(cell["same"][found], cell["same"][i]).tolist()
+        return left, right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held = None
+        for batch in _and_end(batches):
+            if batch is None:
+                now, starts = held, np.zeros(1, int)
+            else:
+                now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "own", "part", "same", "label", "n")}
+                now["fp"] = batch.column("fp").flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint32)
+                if held is not None:
+                    now = {c: np.concatenate([held[c], v]) for c, v in now.items()}
+                starts = np.flatnonzero(np.diff(now["cell"], prepend=now["cell"][:1] ^ 1))
+            if now is None:
+                return
+            ends = [*starts[1:].tolist(), *([len(now["cell"])] if batch is None else [])]
+            left, right = [], []
+            for lo, hi in zip(starts.tolist(), ends, strict=False):
+                a, b = compared({c: v[lo:hi] for c, v in now.items()})
+                left += a
+                right += b
+            held = {c: v[starts[-1] :] for c, v in now.items()}
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _and_end(batches: Iterator) -> Iterator:
+    """The batches that have rows, then None."""
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
+def _verified(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], similarity: float, width: int, seed: int) -> DataFrame:
+    """Pairs (a, b) whose shingle sets are similar."""
+    pairs = written(pairs)
     docs, at = texts
-    named = cut(at.join(named, "same"))
+    named = written(at.join(pairs.select(F.col("a").alias("same")).unionByName(pairs.select(F.col("b").alias("same"))).distinct(), "same"))
     if named.count() <= SENT:
         named = F.broadcast(named)
     own = docs.join(named, docs["doc_id"].eqNullSafe(named["_id"]) & (F.xxhash64(docs["text"]) == named["_mark"]))
@@ -334,11 +365,12 @@ def _settled(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], similarity: f
         for batch in batches:
             yield pa.array([shingle_set(t.as_py(), width, seed).view("<i8").tolist() for t in batch], pa.list_(pa.int64()))
 
-    own = cut(own.select("same", hashed(F.col("text").cast("string")).alias("s")).dropDuplicates(["same"]))
-    seen = doubt.join(own.select(F.col("same").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("same").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    seen = seen.withColumn("both", common).where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")))
-    return clear.unionByName(seen.select("a", "b"))
+    # rows that repeat id and text give a set more than once
+    own = written(own.select("same", hashed(F.col("text").cast("string")).alias("s")).dropDuplicates(["same"]))
+    side = lambda x, s: own.select(F.col("same").alias(x), F.col("s").alias(s))
+    seen = _beside(pairs.join(side("b", "y"), "b"), "a", "b", side("a", "x"))
+    seen = seen.withColumn("both", F.size(F.array_intersect("x", "y")))
+    return seen.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
 @shielded(["doc_id", "text"])
@@ -347,17 +379,17 @@ def first_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Texts are linked if the sets of their shingles (`width` words, A-Z lower-cased; a shorter
     text is one) have a Jaccard similarity of `similarity` or more; a pair at that limit is found
-    with probability `recall`, closer ones nearly always, equal sets always. Groups are what
-    links reach. The row with the least doc_id stays, nulls last; among rows that share it the
+    with probability `recall`, closer ones nearly always, equal sets always; no pair that is less
+    similar is linked. Groups are what links reach. The row with the least doc_id stays, nulls last; among rows that share it the
     one with the least text hash; of rows that repeat id and text, any one. Texts without words
     (null, empty) are one group; texts are read whole, however long; an empty table gives an
     empty one."""
     bits, blocks = plan_blocks(docs.count(), similarity, recall)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = _wide(plain, "text", "w", width, seed, bits, blocks)
-    rows = cut(rows.select("doc_id", F.xxhash64("text").alias("mark"), "w.same", "w.n", "w.fp"))
+    rows = written(rows.select("doc_id", F.xxhash64("text").alias("mark"), "w.same", "w.n", "w.fp"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    values = cut(rows.groupBy("same").agg(F.min(order).alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp")))
+    values = written(rows.groupBy("same").agg(F.min(order).alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp")))
     at = values.select("same", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
     links = similar_links(values.select("same", "n", "fp"), (plain, at), similarity, bits, blocks, width, seed)
     groups = cut(connected_components(links, "a", "b"))
