@@ -1,6 +1,7 @@
 """Rule-based findings over operational rows, and their grouping into incidents.
 
-A finding has rule, severity, day, at, entities (array of strings), summary and data (map)."""
+A finding has rule, severity, day, at, entities (array of strings), summary, sources (the source
+rows that it cites, an array of strings) and data (map)."""
 
 from __future__ import annotations
 
@@ -11,15 +12,23 @@ from pyspark.sql import functions as F
 
 from tidewright.operators.components import connected_components
 
-FINDING = ("rule", "severity", "day", "at", "entities", "summary", "data")
+FINDING = ("rule", "severity", "day", "at", "entities", "summary", "sources", "data")
 
 
-def finding(df: DataFrame, rule: str, severity: Column | str, day: Column, at: Column, entities: Sequence[Column], summary: Column, **data: Column) -> DataFrame:
-    """df projected to the schema of findings."""
+def finding(df: DataFrame, rule: str, severity: Column | str, day: Column, at: Column, entities: Sequence[Column], summary: Column, sources: Column | None = None, **data: Column) -> DataFrame:
+    """df projected to the schema of findings; sources is an array of strings, null for none."""
     sev = F.lit(severity) if isinstance(severity, str) else severity
     pairs = [x for k, v in data.items() for x in (F.lit(k), v.cast("string"))]
+    cited = F.coalesce(F.array().cast("array<string>") if sources is None else sources, F.array().cast("array<string>"))
     values = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    return df.select(F.lit(rule).alias("rule"), sev.alias("severity"), day.cast("date").alias("day"), at.cast("timestamp_ntz").alias("at"), F.array(*(e.cast("string") for e in entities)).alias("entities"), summary.alias("summary"), values.alias("data"))
+    return df.select(F.lit(rule).alias("rule"), sev.alias("severity"), day.cast("date").alias("day"), at.cast("timestamp_ntz").alias("at"), F.array(*(e.cast("string") for e in entities)).alias("entities"), summary.alias("summary"), cited.alias("sources"), values.alias("data"))
+
+
+def finding_id() -> Column:
+    """A number for each finding, from its rule, day and entities: 60 bits of their SHA-256. It needs
+    no order of all findings, and is the same in every run."""
+    name = F.concat_ws("|", "rule", F.date_format("day", "yyyy-MM-dd"), F.array_join("entities", ","))
+    return F.conv(F.substring(F.sha2(name, 256), 1, 15), 16, 10).cast("long")
 
 
 def failed_with_errors(runs: DataFrame, errors: DataFrame, keys: Sequence[str], message: str, order: Sequence[str]) -> DataFrame:
