@@ -168,11 +168,11 @@ def test_dictionary_match_bounds(spark):
 
 
 def test_incident_reports(spark):
-    b = spark.createDataFrame([("INC-1", "# x (2024-01-02)\n[03:10] kim: disk full\n[03:12] lee: $ df\n see RB-7")], "key string, text string")
+    b = spark.createDataFrame([("INC-1", "# x (2024-01-02)\n[03:10] kim: disk full\n[03:12] lee: $ df\n see RB-7 or RB-OPS-7")], "key string, text string")
     lines = incidents.chat_lines(b, "key", "text").collect()
     assert [(r["at"], r["who"], r["text"]) for r in lines] == [("03:10", "kim", "disk full"), ("03:12", "lee", "$ df")]
     r = incidents.read_off(b, "key", "text").first()
-    assert r["refs"] == ["RB-7"]
+    assert r["refs"] == ["RB-OPS-7"]
     clues = spark.createDataFrame([("a", 600)], "key string, at int")
     ev = spark.sql("SELECT 'a' AS key, timestamp'2024-01-01 00:00:00' AS ts UNION ALL SELECT 'a', timestamp'2024-01-01 00:11:00'")
     assert str(incidents.nearest_event(clues, ev, "key", "at").first()["nearest"]) == "2024-01-01 00:11:00"

@@ -11,7 +11,7 @@ import pytest
 from tidewright.plans import catalog
 
 #: Queries that SQL does not express; each has a test of its own.
-NO_SQL = {"html_convert"}
+NO_SQL = {"html_convert", "version_diffs"}
 
 
 @pytest.fixture(scope="module")

@@ -67,11 +67,34 @@ def impact(flows: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
 
 
 def subgraph_lines(flows: DataFrame, starts: DataFrame, hops: int = 1, up_hops: int = 1) -> DataFrame:
-    """(line_no, line): the flow among what the starts reach, as diagram text."""
+    """(line_no, line): the flow among what the starts reach, as the text of a diagram: its head,
+    a line per node in order of ids, a line per edge by its ends, a thicker frame for each start.
+
+    Nodes are numbered by partitions of their order and offsets of these, not in one task."""
     nodes = walk(flows, starts, hops).select("id").unionByName(walk(flows, starts, up_hops, up=True).select("id")).unionByName(starts.select("id")).distinct()
-    inside = flows.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
-    line = F.concat(F.lit("  "), "a", F.lit(" -->|"), "label", F.lit("| "), "b")
-    return inside.select(F.row_number().over(Window.orderBy("a", "b")).cast("long").alias("line_no"), line.alias("line"))
+    nodes = _numbered(nodes, "id")
+    inside = flows.join(nodes.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(nodes.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
+    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    parts = [
+        nodes.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("").alias("x"), F.lit("").alias("y"), F.lit("flowchart TD").alias("line")),
+        nodes.select(F.lit(1).alias("part"), F.col("id").alias("x"), F.lit("").alias("y"), F.concat(F.lit("    "), name("at"), F.lit('["'), "id", F.lit('"]')).alias("line")),
+        inside.select(F.lit(2).alias("part"), F.col("a").alias("x"), F.col("b").alias("y"), F.concat(F.lit("    "), name("at_a"), F.lit(" -->|"), "label", F.lit("| "), name("at_b")).alias("line")),
+        starts.select("id").distinct().join(nodes, "id").select(F.lit(3).alias("part"), F.col("id").alias("x"), F.lit("").alias("y"), F.concat(F.lit("    style "), name("at"), F.lit(" stroke-width:3px")).alias("line")),
+    ]
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
+    return _numbered(lines, "part", "x", "y", "line").select((F.col("at") + 1).alias("line_no"), "line")
+
+
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with at, from 0 in order: ranges of the order are counted by themselves, and what
+    stands before a range is added. Rows are written first, so that ranges stay as they are."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn("at", F.col("_before") + F.col("_in") - 1).drop("_range", "_in", "_before")
 
 
 def stubs(edges: DataFrame, entities: DataFrame, entity: str = "id") -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tidewright.functions.text import NUMBER
 from tidewright.operators.graph import pairs_by_key
 
-#: Commands in back quotes, references to incidents and runbooks, numbers with their unit
-#: (fixed patterns, but that ids of runbooks may lack their letters: RB-7).
-COMMAND, REFERENCE = r"`([^`]{6,})`", r"INC-\d+|(?:RB|SOP)-(?:[A-Z]+-)?\d+"
+#: Commands in back quotes, references to incidents and to runbooks, numbers with their unit
+#: (fixed patterns).
+COMMAND, REFERENCE = r"`([^`]{6,})`", r"INC-\d+|RB-[A-Z]+-\d+|SOP-[A-Z]+-\d+"
 AMOUNT = r"(\d+(?:\.\d+)?)\s*(%|GB|시간|분|억|만|h)"
 #: A line of a chat export.
 CHAT = r"(?m)^\[([0-9]{2}:[0-9]{2})\] ([^:\n]+): ([^\n]*)"

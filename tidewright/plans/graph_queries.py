@@ -68,8 +68,11 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbors(edges(spark, sf_dir), "nation:3").select("src", "rel", "dst", "source")
 
 
-@registry.add(f"""WITH {EDGES_SQL}, n AS (SELECT 'nation:3' AS id UNION SELECT b FROM f WHERE a = 'nation:3' UNION SELECT a FROM f WHERE b = 'nation:3')
-SELECT row_number() OVER (ORDER BY a, b) AS line_no, '  ' || a || ' -->|' || label || '| ' || b AS line FROM f WHERE a IN (SELECT id FROM n) AND b IN (SELECT id FROM n)""")
+@registry.add(f"""WITH {EDGES_SQL}, n AS (SELECT 'nation:3' AS id UNION SELECT b FROM f WHERE a = 'nation:3' UNION SELECT a FROM f WHERE b = 'nation:3'), i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM n),
+l AS (SELECT 0 AS part, '' AS x, '' AS y, 'flowchart TD' AS line UNION ALL SELECT 1, id, '', '    n' || pos || '["' || id || '"]' FROM i
+  UNION ALL SELECT 2, a, b, '    n' || s.pos || ' -->|' || label || '| n' || t.pos FROM f JOIN i s ON s.id = a JOIN i t ON t.id = b
+  UNION ALL SELECT 3, id, '', '    style n' || pos || ' stroke-width:3px' FROM i WHERE id = 'nation:3')
+SELECT row_number() OVER (ORDER BY part, x, y, line) AS line_no, line FROM l""")
 def subgraph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow around one nation as diagram lines."""
     return graph.subgraph_lines(graph.flow(edges(spark, sf_dir)), spark.createDataFrame([("nation:3",)], "id string"))

@@ -65,8 +65,8 @@ d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(source, '')), '[\\p
 s AS (SELECT count(*) AS n_docs, avg(len(ti) + len(bo)) AS avg_len FROM d),
 p AS (SELECT id, l, term, sum(w) AS wtf FROM (SELECT id, len(ti) + len(bo) AS l, unnest(ti) AS term, 3.0::DOUBLE AS w FROM d UNION ALL SELECT id, len(ti) + len(bo), unnest(bo), 1.0::DOUBLE FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-b AS (SELECT qid, id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * l / avg_len))), 6) AS score FROM p JOIN qt USING (term) JOIN f USING (term), s GROUP BY ALL),
-k AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 100)"""
+b AS (SELECT qid, id, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * l / avg_len))) AS s FROM p JOIN qt USING (term) JOIN f USING (term), s GROUP BY ALL),
+k AS (SELECT * FROM (SELECT qid, id, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(s, 12) DESC, id) AS rank FROM b) WHERE rank <= 100)"""
 
 
 def _keyword(spark: SparkSession, sf_dir: str, allowed: Column | None = None) -> DataFrame:
