@@ -28,19 +28,17 @@ def tokens(text: str | Column, pattern: str = r"[a-z0-9_]+") -> Column:
 
 
 def ident_tokens(text: str | Column) -> Column:
-    """Identifiers in the lower-cased text, each whole, with . and - as _, and then its parts;
+    """Identifiers in the lower-cased text, each whole, with . and - as _, and then the parts of all;
     a word of one part counts twice, and repeats stay, so that terms can be counted."""
-    found = tokens(text, IDENT)
-    pieces = lambda x: F.filter(F.split(x, "[._-]"), lambda p: p != "")
-    return F.flatten(F.transform(found, lambda x: F.concat(F.array(F.regexp_replace(x, "[.-]", "_")), pieces(x))))
+    whole = F.transform(tokens(text, IDENT), lambda x: F.translate(x, ".-", "__"))
+    return F.concat(whole, tokens(text, "[a-z0-9]+"))
 
 
 def bigrams(text: str | Column, letters: str) -> Column:
     """Overlapping two-character pieces of each run of `letters` (a regex class); a run of one
     stays as it is."""
-    runs = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(f"{letters}+"), F.lit(0))
-    cut = lambda r: F.when(F.char_length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))
-    return F.flatten(F.transform(runs, cut))
+    pattern = f"(?=({letters}{{2}}|(?<!{letters}){letters}(?!{letters})))"
+    return F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(pattern), F.lit(1))
 
 
 def strip_front_matter(text: str | Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +67,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         delete_at_exit(spark, sc.getCheckpointDir())
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared checkpoint folder; it goes when the application ends."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there, so that its lineage
     ends and an executor that is lost later costs no recomputation."""
