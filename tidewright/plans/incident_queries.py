@@ -27,27 +27,35 @@ def ack_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.acknowledged(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user", F.col("role") == "assistant")
 
 
-CLAIMS = [("c1", "42 rows were lost in daily_sales", ["E1"]), ("c2", "43 rows were lost", ["E1"]), ("c3", "The job failed", []), ("c4", "It failed at 03:10", ["E1", "E9"]), ("c5", "order_index was stale", ["E2"]), ("c6", "retry took 12.5 s", ["E1", "E2"])]
-EVIDENCE = [("E1", "daily_sales lost 42 rows after a retry"), ("E2", "the retry of 03:10 took 12.5 s")]
-CLAIMS_SQL = f"""WITH c AS (SELECT * FROM (VALUES {", ".join(f"('{i}', '{t}', {c}::VARCHAR[])" for i, t, c in CLAIMS)}) v(claim_id, text, cites)), e AS (SELECT * FROM (VALUES {", ".join(f"('{i}', '{t}')" for i, t in EVIDENCE)}) v(evidence_id, body)),
+CLAIMS_SQL = r"""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, 'part_' || l_partkey || ' of ' || CAST(l_quantity AS INTEGER) || ' pieces' AS body FROM lineitem),
+e AS (SELECT 'E' || k || '-' || n AS evidence_id, body FROM l),
+c AS (SELECT o_orderkey AS claim_id, 'sent ' || arg_max(body, n) AS text, CASE o_orderstatus WHEN 'P' THEN [] WHEN 'F' THEN ['E' || o_orderkey || '-1'] ELSE ['E' || o_orderkey || '-1', 'E' || o_orderkey || '-2'] END::VARCHAR[] AS cites FROM orders JOIN l ON k = o_orderkey GROUP BY o_orderkey, o_orderstatus),
 x AS (SELECT claim_id, string_agg(body, chr(10) ORDER BY body) AS t, bool_or(body IS NULL) AS unknown FROM (SELECT claim_id, unnest(cites) AS evidence_id FROM c) LEFT JOIN e USING (evidence_id) GROUP BY 1)
-SELECT claim_id, CASE WHEN t IS NULL OR unknown THEN 'dropped' WHEN len(list_filter(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'), lambda n: NOT contains(t, n))) > 0 THEN 'dropped' WHEN len(list_filter(regexp_extract_all(text, '\\b[a-z0-9]+(?:_[a-z0-9]+)+\\b'), lambda n: NOT contains(t, n))) > 0 THEN 'warn' ELSE 'ok' END AS status FROM c LEFT JOIN x USING (claim_id)"""
+SELECT claim_id, CASE WHEN t IS NULL OR unknown THEN 'dropped' WHEN len(list_filter(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'), lambda n: NOT contains(t, n))) > 0 THEN 'dropped' WHEN len(list_filter(regexp_extract_all(text, '\b[a-z0-9]+(?:_[a-z0-9]+)+\b'), lambda n: NOT contains(t, n))) > 0 THEN 'warn' ELSE 'ok' END AS status FROM c LEFT JOIN x USING (claim_id)"""
 
 
 @registry.add(CLAIMS_SQL)
 def claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims against the evidence that they cite."""
-    claims, evidence = spark.createDataFrame(CLAIMS, "claim_id string, text string, cites array<string>"), spark.createDataFrame(EVIDENCE, "evidence_id string, body string")
-    return incidents.check_claims(claims, evidence).select("claim_id", "status")
-
-
-ANSWERS = [(1, "It failed [S2] twice [S1].", 3), (2, "It failed.", 3), (3, "It failed [S9].", 3), (4, "[S0] no", 1)]
-
-
-@registry.add(f"""SELECT id::BIGINT AS id, len(regexp_extract_all(t, '\\[S([0-9]+)\\]', 1)) > 0 AND len(list_filter(regexp_extract_all(t, '\\[S([0-9]+)\\]', 1), lambda x: x::INT < 1 OR x::INT > n)) = 0 AS cited_ok FROM (VALUES {", ".join(f"({i}, '{t}', {n})" for i, t, n in ANSWERS)}) v(id, t, n)""")
+    """A claim per order, about its last line, against the evidence that it cites: its first line,
+    its first two, or none. What the first ones don't say is dropped."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string"), F.lit(" of "), F.col("l_quantity").cast("int").cast("string"), F.lit(" pieces")).alias("body"))
+    name = lambda n: F.concat(F.lit("E"), F.col("k").cast("string"), F.lit("-"), n.cast("string"))
+    last = li.groupBy("k").agg(F.concat(F.lit("sent "), F.max_by("body", "n")).alias("text"))
+    cites = F.when(F.col("o_orderstatus") == "P", F.array().cast("array<string>")).when(F.col("o_orderstatus") == "F", F.array(name(F.lit(1)))).otherwise(F.array(name(F.lit(1)), name(F.lit(2))))
+    claims = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus").join(last, "k").select(F.col("k").alias("claim_id"), "text", cites.alias("cites"))
+    return incidents.check_claims(claims, li.select(name(F.col("n")).alias("evidence_id"), "body")).select("claim_id", "status")
+
+
+@registry.add(r"""WITH n AS (SELECT conv_id, max(turn) AS n FROM conversations GROUP BY 1), a AS (SELECT conv_id, turn, left(text, 20) || CASE WHEN role = 'user' THEN '' ELSE ' [S' || turn || '] and [S' || (length(text) % 6) || ']' END AS t, n FROM conversations JOIN n USING (conv_id))
+SELECT conv_id, turn, len(regexp_extract_all(t, '\[S([0-9]+)\]', 1)) > 0 AND len(list_filter(regexp_extract_all(t, '\[S([0-9]+)\]', 1), lambda x: x::INT < 1 OR x::INT > n)) = 0 AS cited_ok FROM a""")
 def citation_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers whose citations all exist."""
-    return incidents.check_citations(spark.createDataFrame(ANSWERS, "id long, text string, n long"), "text", "n").select("id", "cited_ok")
+    """Turns as answers, the assistant's with two citations: those whose citations all exist among
+    as many sources as the conversation has turns after its first."""
+    t = table(spark, sf_dir, "conversations")
+    n = t.groupBy("conv_id").agg(F.max("turn").alias("n"))
+    cited = F.concat(F.lit(" [S"), F.col("turn").cast("string"), F.lit("] and [S"), (F.char_length("text") % 6).cast("string"), F.lit("]"))
+    a = t.join(n, "conv_id").select("conv_id", "turn", F.concat(F.substring("text", 1, 20), F.when(F.col("role") == "user", "").otherwise(cited)).alias("text"), "n")
+    return incidents.check_citations(a, "text", "n").select("conv_id", "turn", "cited_ok")
 
 
 INTENTS = {"owner": ["what ", "who "], "impact": ["tion", "effect"], "status": ["is ", "was "], "cause": ["why"]}
@@ -122,14 +130,20 @@ def index_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(f"""WITH {graph_queries.EDGES_SQL}, n AS (SELECT 'nation:' || n_nationkey AS id, n_name AS title FROM nation),
 d AS (SELECT id, count(*) AS n_down FROM n JOIN f ON a = id GROUP BY 1), u AS (SELECT id, count(*) AS n_up FROM n JOIN f ON b = id GROUP BY 1)
-SELECT id, title, coalesce(n_down, 0) AS n_down, coalesce(n_up, 0) AS n_up, title || ' affects ' || coalesce(n_down, 0) || ' entities [S1]' AS answer FROM n LEFT JOIN d USING (id) LEFT JOIN u USING (id)""".replace("d AS (SELECT id, count", "dn AS (SELECT id, count").replace("LEFT JOIN d USING", "LEFT JOIN dn USING"))
+SELECT id, title, coalesce(n_down, 0) AS n_down, coalesce(n_up, 0) AS n_up,
+  coalesce((SELECT string_agg('INC-' || o_orderkey, ',' ORDER BY 'INC-' || o_orderkey) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' AND 'nation:' || c_nationkey = n.id), '') AS incidents,
+  coalesce((SELECT string_agg(DISTINCT 'runbook:' || c_mktsegment, ',' ORDER BY 'runbook:' || c_mktsegment) FROM customer WHERE 'nation:' || c_nationkey = n.id), '') AS runbooks, title || ' affects ' || coalesce(n_down, 0) || ' entities [S1]' AS answer FROM n LEFT JOIN d USING (id) LEFT JOIN u USING (id)""".replace("d AS (SELECT id, count", "dn AS (SELECT id, count").replace("LEFT JOIN d USING", "LEFT JOIN dn USING"))
 def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations with what is one step from them, and the rule answer about their impact."""
+    """Nations with what is one step from them, their customers' unfinished orders as incidents, their
+    market segments as runbooks, and the rule answer about their impact."""
     f = graph.flow(graph_queries.edges(spark, sf_dir))
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("title"), F.lit(None).cast("string").alias("team"), F.lit("ok").alias("status"))
     side = lambda at, to: f.join(n.select(F.col("id").alias(at)), at, "left_semi").select(F.col(at).alias("id"), F.col(to).alias("other"), F.lit(1).alias("distance"))
-    none = n.select("id", F.array().cast("array<string>").alias("ids")).where("false")
-    b = asking.context_bundle(n, side("a", "b"), side("b", "a"), none, none)
+    c = table(spark, sf_dir, "customer").withColumn("id", F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")))
+    stuck = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    gathered = lambda df, x: df.groupBy("id").agg(F.array_sort(F.collect_set(x)).alias("ids"))
+    cases = gathered(stuck, F.concat(F.lit("INC-"), F.col("o_orderkey").cast("string")))
+    b = asking.context_bundle(n, side("a", "b"), side("b", "a"), cases, gathered(c, F.concat(F.lit("runbook:"), "c_mktsegment")))
     asked = n.select(F.col("id").alias("qid"), F.lit("impact").alias("intent"), "id")
-    counts = b.select("id", "title", F.size("downstream").cast("long").alias("n_down"), F.size("upstream").cast("long").alias("n_up"))
+    counts = b.select("id", "title", F.size("downstream").cast("long").alias("n_down"), F.size("upstream").cast("long").alias("n_up"), F.array_join("incidents", ",").alias("incidents"), F.array_join("runbooks", ",").alias("runbooks"))
     return counts.join(asking.rule_answer(asked, b).select("id", "answer"), "id")

@@ -51,12 +51,16 @@ def tokenize_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("bigram").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@registry.add("""WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS chunk, length(body)::BIGINT AS n_chars, sha256(body)[1:12] AS hash FROM c WHERE trim(body) <> ''""")
+@registry.add("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), t AS (SELECT doc_id, array_to_string(list_transform(l, lambda x, i: CASE WHEN i % 4 = 3 THEN '## ' || x ELSE x END), chr(10)) AS t FROM l),
+p AS (SELECT doc_id, string_split(t, chr(10) || '## ') AS p FROM t), s AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS k, len(p) AS n FROM p),
+b AS (SELECT doc_id, k, CASE WHEN k = 1 THEN '' ELSE trim(split_part(x, chr(10), 1)) END AS section, CASE WHEN k = 1 THEN '' ELSE '## ' END || x || CASE WHEN k < n THEN chr(10) ELSE '' END AS body FROM s)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS chunk, section, length(body)::BIGINT AS n_chars, sha256(body)[1:12] AS hash FROM b WHERE trim(body, ' ' || chr(10) || chr(9) || chr(13)) <> ''""")
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts in chunks of a line, blank ones left out, numbered within their document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x) != "").alias("c"))
-    return d.select("doc_id", F.posexplode("c").alias("k", "body")).select("doc_id", (F.col("k") + 1).cast("long").alias("chunk"), F.char_length("body").cast("long").alias("n_chars"), F.substring(F.sha2("body", 256), 1, 12).alias("hash"))
+    """Texts, every fourth line a heading, in chunks by section, blank ones left out, numbered
+    within their document."""
+    headed = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 4 == 2, F.concat(F.lit("## "), x)).otherwise(x)), "\n")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sections(headed)).alias("k", "s"))
+    return d.select("doc_id", (F.col("k") + 1).cast("long").alias("chunk"), "s.section", F.char_length("s.body").cast("long").alias("n_chars"), F.substring(F.sha2("s.body", 256), 1, 12).alias("hash"))
 
 
 BM25_SQL = f"""{Q_SQL},
