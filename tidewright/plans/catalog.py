@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewright.plans import anomaly_queries, graph_queries, history_queries, incident_queries, metric_queries, search_queries, source_queries, trace_queries, upload_queries
+from tidewright.plans import anomaly_queries, graph_queries, history_queries, incident_queries, job_queries, metric_queries, search_queries, source_queries, trace_queries, upload_queries
 from tidewright.plans.registry import Query
 
-MODULES = (metric_queries, anomaly_queries, history_queries, graph_queries, search_queries, incident_queries, source_queries, trace_queries, upload_queries)
+MODULES = (metric_queries, anomaly_queries, history_queries, graph_queries, search_queries, incident_queries, source_queries, trace_queries, upload_queries, job_queries)
 
 
 def queries() -> dict[str, Query]:
