@@ -139,28 +139,26 @@ def choose_terms(positives: list[str | None], counts: dict[str, int], n_words: i
 
 
 class Lexicon:
-    """Evidence of texts by known terms, remembering which term a word has."""
+    """Evidence of texts by known terms, remembering which words have none and which have one."""
 
     def __init__(self, terms: dict[str, float]):
-        self.terms, self.known = terms, {}
+        self.terms, self.known, self.hits = terms, set(), {}
 
     def weight(self, word: str) -> float:
-        w = self.known.get(word)
-        if w is None:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            w = self.known[word] = max((self.terms[t] for t in terms_of(word) if t in self.terms), default=0.0)
-        return w
+        return max((self.terms[t] for t in terms_of(word) if t in self.terms), default=0.0)
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         """Sum of the weights of hits against the square root of the words, and the hits."""
-        total, hits, n = [], 0, 0
-        for word, k in words_by_line(text).items():
-            n += k
-            if w := self.weight(word):
-                total.append(w * k)
-                hits += k
-        return math.fsum(total) / math.sqrt(n or 1), hits
+        words = words_by_line(text)
+        if len(self.known) >= REMEMBER:
+            self.known.clear()
+            self.hits.clear()
+        if new := words.keys() - self.known:
+            self.known |= new
+            self.hits |= {w: x for w in new if (x := self.weight(w))}
+        found = self.hits.keys() & words.keys()
+        total = math.fsum(self.hits[w] * words[w] for w in found)
+        return total / math.sqrt(sum(words.values()) or 1), sum(words[w] for w in found)
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, mass: np.ndarray, prior: float) -> tuple[float, float, float]:
@@ -192,19 +190,28 @@ def _totals(texts: DataFrame, terms: list[str]) -> tuple[dict[str, int], int]:
     sent = texts.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known, sums, n = sent.value, {}, {}, 0
+        at, known, sums, words = sent.value, {}, Counter(), Counter()
+
+        def add() -> None:
+            """Words counted so far as terms."""
+            for word, k in words.items():
+                js = known.get(word)
+                if js is None:
+                    if len(known) >= REMEMBER:
+                        known.clear()
+                    js = known[word] = tuple(at[t] for t in terms_of(word) if t in at)
+                for j in js:
+                    sums[j] += k
+            sums[-1] += sum(words.values())
+            words.clear()
+
         for batch in batches:
             for text in batch.column(0):
-                for word, k in words_by_line(text.as_py()).items():
-                    n += k
-                    js = known.get(word)
-                    if js is None:
-                        if len(known) >= REMEMBER:
-                            known.clear()
-                        js = known[word] = tuple(at[t] for t in terms_of(word) if t in at)
-                    for j in js:
-                        sums[j] = sums.get(j, 0) + k
-        sums[-1] = n
+                for line in dict.fromkeys(folded(text.as_py()).split("\n")):
+                    words.update(set(line.split()))
+                if len(words) >= REMEMBER:
+                    add()
+        add()
         yield pa.RecordBatch.from_pydict({"term": pa.array(list(sums), pa.int64()), "n": pa.array(list(sums.values()), pa.int64())})
 
     # rows: at most one per term, of which there are as many as the bounded positives have
