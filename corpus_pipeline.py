@@ -82,7 +82,8 @@ STAGES = [
     ("mixing", mixture),
 ]
 
-#: Models, automata and fingerprints are not SQL; tests hold run() against brute force.
+#: Models, automata and fingerprints are not SQL. Tests hold each operator against brute force, and run()
+#: and its stages against what they have to keep, on tables with nulls, repeats and clashing columns too.
 ORACLE_SQL = None
 
 
