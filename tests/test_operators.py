@@ -150,6 +150,7 @@ def test_evaluation(spark):
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(tx.ident_tokens(F.lit("see mart.daily-sales, a_b and x"))) == ["see", "see", "mart_daily_sales", "mart", "daily", "sales", "a_b", "a", "b", "and", "and", "x", "x"]
+    assert sorted(one(tx.ident_terms(F.lit("see mart.daily-sales, a_b and x")))) == sorted(one(tx.ident_tokens(F.lit("see mart.daily-sales, a_b and x"))))
     assert one(tx.bigrams(F.lit("가나다 라 ab"), "[가-힣]")) == ["가나", "나다", "라"]
     assert one(tx.plain(F.lit("---\na: b\n---\n# T\n[x](y) `c` | d"))) == "T x c d"
     assert [tuple(s) for s in one(tx.sections(F.lit("intro\n## A\nbody\n## B\n")))] == [("", "intro\n"), ("A", "## A\nbody\n"), ("B", "## B\n")]

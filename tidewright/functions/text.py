@@ -28,8 +28,15 @@ def tokens(text: str | Column, pattern: str = r"[a-z0-9_]+") -> Column:
 
 
 def ident_tokens(text: str | Column) -> Column:
-    """Identifiers in the lower-cased text, each whole, with . and - as _, and then the parts of all;
+    """Identifiers in the lower-cased text, each whole, with . and - as _, and then its parts;
     a word of one part counts twice, and repeats stay, so that terms can be counted."""
+    found = tokens(text, IDENT)
+    pieces = lambda x: F.filter(F.split(x, "[._-]"), lambda p: p != "")
+    return F.flatten(F.transform(found, lambda x: F.concat(F.array(F.regexp_replace(x, "[.-]", "_")), pieces(x))))
+
+
+def ident_terms(text: str | Column) -> Column:
+    """The same tokens in another order, all wholes before all parts: cheaper, for counting."""
     whole = F.transform(tokens(text, IDENT), lambda x: F.translate(x, ".-", "__"))
     return F.concat(whole, tokens(text, "[a-z0-9]+"))
 

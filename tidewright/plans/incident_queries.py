@@ -29,7 +29,7 @@ def ack_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLAIMS_SQL = r"""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, 'part_' || l_partkey || ' of ' || CAST(l_quantity AS INTEGER) || ' pieces' AS body FROM lineitem),
 e AS (SELECT 'E' || k || '-' || n AS evidence_id, body FROM l),
-c AS (SELECT o_orderkey AS claim_id, 'sent ' || arg_max(body, n) AS text, CASE o_orderstatus WHEN 'P' THEN [] WHEN 'F' THEN ['E' || o_orderkey || '-1'] ELSE ['E' || o_orderkey || '-1', 'E' || o_orderkey || '-2'] END::VARCHAR[] AS cites FROM orders JOIN l ON k = o_orderkey GROUP BY o_orderkey, o_orderstatus),
+c AS (SELECT o_orderkey AS claim_id, 'sent ' || arg_max(body, (n, body)) AS text, CASE o_orderstatus WHEN 'P' THEN [] WHEN 'F' THEN ['E' || o_orderkey || '-1'] ELSE ['E' || o_orderkey || '-1', 'E' || o_orderkey || '-2'] END::VARCHAR[] AS cites FROM orders JOIN l ON k = o_orderkey GROUP BY o_orderkey, o_orderstatus),
 x AS (SELECT claim_id, string_agg(body, chr(10) ORDER BY body) AS t, bool_or(body IS NULL) AS unknown FROM (SELECT claim_id, unnest(cites) AS evidence_id FROM c) LEFT JOIN e USING (evidence_id) GROUP BY 1)
 SELECT claim_id, CASE WHEN t IS NULL OR unknown THEN 'dropped' WHEN len(list_filter(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'), lambda n: NOT contains(t, n))) > 0 THEN 'dropped' WHEN len(list_filter(regexp_extract_all(text, '\b[a-z0-9]+(?:_[a-z0-9]+)+\b'), lambda n: NOT contains(t, n))) > 0 THEN 'warn' ELSE 'ok' END AS status FROM c LEFT JOIN x USING (claim_id)"""
 
@@ -40,7 +40,7 @@ def claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     its first two, or none. What the first ones don't say is dropped."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string"), F.lit(" of "), F.col("l_quantity").cast("int").cast("string"), F.lit(" pieces")).alias("body"))
     name = lambda n: F.concat(F.lit("E"), F.col("k").cast("string"), F.lit("-"), n.cast("string"))
-    last = li.groupBy("k").agg(F.concat(F.lit("sent "), F.max_by("body", "n")).alias("text"))
+    last = li.groupBy("k").agg(F.concat(F.lit("sent "), F.max_by("body", F.struct("n", "body"))).alias("text"))
     cites = F.when(F.col("o_orderstatus") == "P", F.array().cast("array<string>")).when(F.col("o_orderstatus") == "F", F.array(name(F.lit(1)))).otherwise(F.array(name(F.lit(1)), name(F.lit(2))))
     claims = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus").join(last, "k").select(F.col("k").alias("claim_id"), "text", cites.alias("cites"))
     return incidents.check_claims(claims, li.select(name(F.col("n")).alias("evidence_id"), "body")).select("claim_id", "status")

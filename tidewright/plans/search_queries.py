@@ -161,7 +161,7 @@ MOST, BEST = {"title": 3.0, "body": 1.0, "title.ident": 3.0, "body.ident": 1.5},
 
 def _analysers(title: Column, body: Column) -> dict[str, Column]:
     """Tokens of each field: words, identifiers whole and in parts, two-character pieces."""
-    kinds = {"": lambda c: tx.tokens(c, r"[\p{L}0-9_]+"), ".ident": tx.ident_tokens, ".bigram": lambda c: tx.bigrams(F.lower(c), r"[\p{L}\p{Nd}]")}
+    kinds = {"": lambda c: tx.tokens(c, r"[\p{L}0-9_]+"), ".ident": tx.ident_terms, ".bigram": lambda c: tx.bigrams(F.lower(c), r"[\p{L}\p{Nd}]")}
     return {f"{name}{kind}": cut(c) for kind, cut in kinds.items() for name, c in (("title", title), ("body", body))}
 
 
