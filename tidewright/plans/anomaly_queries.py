@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import anomaly
 from tidewright.plans.registry import Registry
-from tidewright.session import table
+from tidewright.session import cut, table
 
 registry = Registry()
 
@@ -145,8 +145,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """findings with fid."""
-    return findings(spark, sf_dir).withColumn("fid", anomaly.finding_id())
+    """findings with fid, written once: their links and their groups are both made of them."""
+    return cut(findings(spark, sf_dir).withColumn("fid", anomaly.finding_id()))
 
 
 @registry.add(FINDINGS_SQL + """SELECT rule, severity, day, array_to_string(entities, ',') AS entities, summary, sources FROM f""")
