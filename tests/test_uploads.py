@@ -121,3 +121,15 @@ def test_names_of_any_script_are_found_either_way(spark, monkeypatch):
         got = search.dictionary_match(docs, dic, "id", "t").collect()
         assert sorted((r["id"], r["entity"]) for r in got) == want
         assert {(r["id"], r["entity"]): r["at"] for r in got}[1, "pay"] == 4
+
+
+def test_capitals_of_any_script_are_found_either_way(spark, monkeypatch):
+    texts = [(1, "Über uns"), (2, "ÜBER"), (3, "überall"), (4, "verſt"), (5, "ΛΟΓΟΣ λόγος"), (6, "Uber"), (7, "ßverst")]
+    names = [("u", "über"), ("v", "verst"), ("l", "λογοσ")]
+    docs, dic = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(names, "entity string, name string")
+    for few in (1000, 0):
+        monkeypatch.setattr(search, "FEW_NAMES", few)
+        assert sorted((r["id"], r["entity"]) for r in search.dictionary_match(docs, dic, "id", "t").collect()) == [(1, "u"), (2, "u"), (4, "v"), (5, "l"), (7, "v")]
+    files = docs.select(F.concat(F.lit("f"), "id", F.lit(".md")).alias("name"), F.concat(F.lit("# "), "t").alias("text"))
+    got = uploads.preview(files, spark.createDataFrame([], "id string, markdown string"), dic).collect()
+    assert sorted(r["name"] for r in got if [e["in_raw"] for e in r["entities"]] == [True]) == ["f1.md", "f2.md", "f4.md", "f5.md", "f7.md"]

@@ -36,9 +36,9 @@ def preview(files: DataFrame, stored: DataFrame, names: DataFrame, prefix: str =
     # places come with the file's name only, so that texts are joined once and not per entity
     places = found.groupBy(F.col("id").alias("name")).agg(F.array_sort(F.collect_list(F.struct("at", "entity", F.col("name").alias("surface")))).alias("places"))
     rows = rows.join(places, "name", "left").join(stored.select("id", F.col("markdown").alias("was")), "id", "left")
-    low = F.lower("raw")
+    low = tx.folded("raw")
     around = lambda p: F.replace(F.substring(F.col("markdown"), F.greatest(F.lit(1), p["at"] - AROUND), F.least(p["at"] - 1, F.lit(AROUND)) + F.char_length(p["surface"]) + AROUND), F.lit("\n"), F.lit(" "))
-    entities = F.transform(F.coalesce("places", F.array()), lambda p: F.struct(p["entity"].alias("entity"), p["surface"].alias("surface"), p["at"].alias("at"), F.contains(low, F.lower(p["surface"])).alias("in_raw"), around(p).alias("snippet")))
+    entities = F.transform(F.coalesce("places", F.array()), lambda p: F.struct(p["entity"].alias("entity"), p["surface"].alias("surface"), p["at"].alias("at"), F.contains(low, tx.folded(p["surface"])).alias("in_raw"), around(p).alias("snippet")))
     rows = rows.withColumn("entities", entities)
     titled = F.startswith(F.ltrim("markdown"), F.lit("# "))
     head = F.btrim(F.regexp_extract("markdown", r"(?m)^# (.*)$", 1))
