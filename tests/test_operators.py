@@ -222,3 +222,23 @@ def test_snippet_leaves_markup_out_and_starts_before_the_longest_word(spark):
     rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, t string")
     got = {r[0]: r[1] for r in rows.select("id", tx.snippet("t", "a needle in")).collect()}
     assert got == {1: "…" + plain[at : at + 90] + "…", 2: None, 3: ""}
+
+
+def test_nearest_vectors_and_groups_match_all_pairs(spark):
+    """Copies tie to the smaller id; null, odd and short vectors are compared as before; groups
+    count as their pairs do, and no pair that was not a hit is made."""
+    rng = random.Random(3)
+    rows = [(i, [float(rng.choice([-1, 0, 1, 2])) for _ in range(4)], i % 3 if i % 7 else None) for i in range(400)]
+    rows += [(500, None, 1), (501, [1.0, None, 2.0, 0.0], 1), (502, [1.0, 2.0], 2), (503, [0.0] * 4, 2), (700, [1.0, 2.0], 2)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))) + 1e-9
+    pairs = search._scored(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("_v")), asked.withColumnRenamed("q", "_q"), norm)
+    want = search.top(pairs, ["qid"], [F.desc("score"), F.asc("id")], 12).withColumn("score", F.round("score", 6))
+    for block in (1000, 2):
+        got = search.cosine_top(e.repartition(3), asked, 12, block=block)
+        assert sorted(map(tuple, got.select("qid", "rank", "id", "score").collect()), key=str) == sorted(map(tuple, want.select("qid", "rank", "id", "score").collect()), key=str)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    labels, of = e.select(F.col("vec_id").alias("id"), "label"), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
+    one = search.evaluate_groups(want, labels, of)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, search.evaluate(want, labels.join(of, "label").where("qid <> id")).collect()))
