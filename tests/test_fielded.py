@@ -95,3 +95,21 @@ def test_an_empty_table(spark):
     index = fielded.write_index(df, "id", analysers(F.col("title"), F.col("body")), scratch(spark, "index"), 2)
     terms = spark.createDataFrame([(1, "title", "a")], "qid long, field string, term string")
     assert fielded.search(index, terms, MOST, BEST).count() == 0
+
+
+def test_pieces_of_runs_and_no_shuffled_postings(spark, corpus, monkeypatch):
+    """Pieces cut while counting are those of the pattern, beyond the basic plane too, whatever the
+    size of a slice; postings are written where they are counted."""
+    docs, _, _ = corpus
+    df = spark.createDataFrame([*docs, (600, "𝒜𝒷𝒸 d", "é漢字 x 漢 ab")], "id long, title string, body string")
+    text, path = F.col("body"), scratch(spark, "index")
+    made = {"whole": (tx.bigrams(F.lower(text), r"[\p{L}\p{Nd}]"), ()), "cut": (tx.tokens(text, r"[\p{L}\p{Nd}]+"), ("body",))}
+    found = {}
+    for name, (tokens, runs) in made.items():
+        counted = fielded._counted(["body"], set(runs), 200)
+        rows = df.select("id", F.coalesce(tokens, F.array().cast("array<string>")).alias("f0")).mapInArrow(counted, "id long, field string, len int, term string, tf int")
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        index = fielded.write_index(df, "id", {"body": tokens}, f"{path}-{name}", 4, runs)
+        read = index._read(spark, "postings").drop("folder").collect()
+        found[name] = (sorted(map(str, read)), sorted(map(str, rows.collect())), sorted(map(str, index._read(spark, "fields").collect())), sorted(map(str, index._read(spark, "terms").collect())))
+    assert found["whole"] == found["cut"] and found["cut"][0] == found["cut"][1] and any("漢字" in x for x in found["cut"][0])

@@ -53,26 +53,77 @@ class Index:
         return self._read(spark, "postings").where(F.col("folder").isin(folders)).join(known, ["folder", "field", "term"]).drop("folder")
 
 
-def write_index(docs: DataFrame, doc_id: str, fields: Mapping[str, Column], path: str, folders: int = FOLDERS) -> Index:
-    """Write the index of docs under path. fields: name -> array of tokens (null: none).
+def write_index(docs: DataFrame, doc_id: str, fields: Mapping[str, Column], path: str, folders: int = FOLDERS, runs: Sequence[str] = ()) -> Index:
+    """Write the index of docs under path. fields: name -> array of tokens (null: none); of those
+    named in runs the array holds runs of letters, which are cut into two-character pieces (a run of
+    one stays as it is).
 
     len is the number of a field's tokens in a document, averages are over documents that have the
-    field; every document is indexed, whole. A document's tokens are
-    counted where they are before they are shuffled; a frequent term's postings go to several tasks."""
-    spark = docs.sparkSession
-    one = lambda name, tokens: F.struct(F.lit(name).alias("field"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
-    rows = docs.select(F.col(doc_id).alias("id"), F.explode(F.array(*(one(n, c) for n, c in fields.items()))).alias("f"))
-    rows = rows.select("id", "f.field", "f.tokens", F.size("f.tokens").alias("len")).where("len > 0")
-    rows.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).write.mode("overwrite").parquet(f"{path}/fields")
-    counted = rows.select("id", "field", "len", F.explode("tokens").alias("term")).groupBy("id", "field", "len", "term").agg(F.count("*").cast("int").alias("tf"))
-    dealt = counted.withColumn("folder", _folder("term", folders)).repartition(folders, "folder", _folder("id", 4)).sortWithinPartitions("folder", "field", "term", "id")
+    field; every document is indexed, whole. A document's tokens are counted and its postings
+    written where it is, by folders: no posting is shuffled, and texts are read once. A row without a
+    term, in a folder of its own, keeps each document's len for the averages."""
+    rows = docs.select(F.col(doc_id).alias("id"), *(F.coalesce(c, F.array().cast("array<string>")).alias(f"f{k}") for k, c in enumerate(fields.values())))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    counted = rows.mapInArrow(_counted(list(fields), set(runs)), f"id {kind}, field string, len int, term string, tf int")
+    dealt = counted.withColumn("folder", F.when(F.col("term").isNull(), -1).otherwise(_folder("term", folders)))
     dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
-    index = Index(path, folders, docs.schema[doc_id].dataType.simpleString())
-    df = index._read(spark, "postings").groupBy("folder", "field", "term").agg(F.count("*").alias("df"))
+    index = Index(path, folders, kind)
+    postings = index._read(docs.sparkSession, "postings")
+    postings.where("folder = -1").groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).write.mode("overwrite").parquet(f"{path}/fields")
+    df = postings.where("folder >= 0").groupBy("folder", "field", "term").agg(F.count("*").alias("df"))
     df.repartition(folders, "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/terms")
     return index
 
 
+def _counted(fields: list[str], runs: set[str], most: int = 2_000_000):
+    """For mapInArrow: documents (id, an array of tokens per field) to postings, by term within some
+    `most` bytes of documents. It is whole in itself: executors may not have this library."""
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def pieces(tokens, row):
+            """Two-character pieces as numbers, and the row of each."""
+            chars = np.frombuffer("\0".join(tokens.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            after, before = np.append(chars[1:], 0), np.append(0, chars[:-1])
+            keep = (chars != 0) & ((after != 0) | (before == 0))
+            return (chars << 21 | after)[keep], row[np.cumsum(chars == 0)[keep]]
+
+        for batch in batches:
+            step = max(1, int(most * batch.num_rows / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids, n = part.column(0), part.num_rows
+                for k, field in enumerate(fields, 1):
+                    tokens = part.column(k).flatten()
+                    if not len(tokens):
+                        continue
+                    row = np.repeat(np.arange(n), pc.list_value_length(part.column(k)).to_numpy(zero_copy_only=False))
+                    if field in runs:
+                        code, row = pieces(tokens, row)
+                    else:
+                        coded = tokens.dictionary_encode()
+                        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                    lens = np.bincount(row, minlength=n)
+                    key, tf = np.unique(code << 20 | row, return_counts=True)
+                    own, row = key >> 20, key & (1 << 20) - 1
+                    if field in runs:
+                        own, place = np.unique(own, return_inverse=True)
+                        names = pa.array([chr(c >> 21) + (chr(c & 0x1FFFFF) if c & 0x1FFFFF else "") for c in own.tolist()], pa.string())
+                        terms = names.take(pa.array(place))
+                    else:
+                        terms = coded.dictionary.take(pa.array(own))
+                    held = np.flatnonzero(lens)
+                    rows = np.concatenate([row, held])
+                    terms = pa.concat_arrays([terms.cast(pa.string()), pa.nulls(len(held), pa.string())])
+                    tf = np.concatenate([tf, np.zeros(len(held), tf.dtype)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array([field]).take(pa.array(np.zeros(len(rows), np.int64))), pa.array(lens[rows].astype(np.int32)), terms, pa.array(tf)], names=["id", "field", "len", "term", "tf"])
+
+    return count
+
+
 def _scores(hits: DataFrame) -> DataFrame:
     """hits (qid, id, field, boost, tf, len, df, n_docs, avg_len) with each one's BM25 times its boost."""
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
