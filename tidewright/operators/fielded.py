@@ -71,7 +71,7 @@ def write_index(docs: DataFrame, doc_id: str, fields: Mapping[str, Column], path
     postings = index._read(docs.sparkSession, "postings")
     postings.where("folder = -1").groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).write.mode("overwrite").parquet(f"{path}/fields")
     df = postings.where("folder >= 0").groupBy("folder", "field", "term").agg(F.count("*").alias("df"))
-    df.repartition(folders, "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/terms")
+    df.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/terms")
     return index
 
 
